@@ -32,27 +32,23 @@ def norm_no_quotes(x: Column | str) -> Column:
 
 
 def stable_column_id(table: Column | str, column: Column | str) -> Column:
-    """``table.column`` id: lower case; space and ``/`` -> ``_``; a hyphen
-    between two digits or two letters -> ``_`` (the regex consumes both
-    neighbours, so ``a-b-c`` gives ``a_bc``), other hyphens dropped; ``()#%``
-    dropped; ``__`` collapsed; ``_`` stripped from the column part's ends."""
-
-    def clean(x: Column) -> Column:
-        s = F.translate(F.lower(x), " /", "__")
-        s = F.regexp_replace(s, r"(\d)-(\d)", "$1_$2")
-        s = F.regexp_replace(s, r"([a-z])-([a-z])", "$1_$2")
-        s = F.regexp_replace(s, "-", "")
-        s = F.regexp_replace(s, r"[()#%]", "")
-        s = F.regexp_replace(s, "_+", "_")
-        return s
-
-    col = F.regexp_replace(clean(_c(column)), r"^_+|_+$", "")
-    return F.concat(clean(_c(table)), F.lit("."), col)
+    """``table.column`` id.  Table: lower case, spaces -> ``_``.  Column: lower
+    case; space and ``/`` -> ``_``; a hyphen between two digits or two letters
+    -> ``_`` (the regex consumes both neighbours, so ``a-b-c`` gives ``a_bc``);
+    other hyphens dropped; ``()#%`` dropped; runs of ``_`` collapsed; ``_``
+    stripped from both ends."""
+    c = F.translate(F.lower(_c(column)), " /", "__")
+    c = F.regexp_replace(c, r"(\d)-(\d)", "$1_$2")
+    c = F.regexp_replace(c, r"([a-z])-([a-z])", "$1_$2")
+    c = F.regexp_replace(c, r"[-()#%]", "")
+    c = F.regexp_replace(F.regexp_replace(c, "_+", "_"), r"^_+|_+$", "")
+    t = F.translate(F.lower(_c(table)), " ", "_")
+    return F.concat(t, F.lit("."), c)
 
 
 def base_type(t: Column | str) -> Column:
-    """Text before the first ``(`` of a type name, trimmed."""
-    return F.trim(F.substring_index(_c(t), "(", 1))
+    """Text before the first ``(`` of a type name."""
+    return F.substring_index(_c(t), "(", 1)
 
 
 def title_key(x: Column | str) -> Column:

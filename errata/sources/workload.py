@@ -176,6 +176,122 @@ WHERE s.variant = 2 AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')
 """
 
 
+# ---------------------------------------------------------------- names and text
+
+PACKAGE_DELIM = "\t----- bird -----\t"
+
+
+def packed_prediction_sql(d: Dialect) -> str:
+    """packed_prediction(example_id, packed): predicted SQL packaged with the
+    benchmark delimiter and database; some rows lack the delimiter, some hold
+    it twice, some carry surrounding blanks."""
+    u = d.u("o.o_orderkey", "'pack'")
+    sql = "'SELECT o_orderpriority FROM orders WHERE o_orderkey = ' || CAST(o.o_orderkey AS STRING)"
+    delim = "(chr(9) || '----- bird -----' || chr(9))"
+    db = "'db' || CAST(o.o_custkey AS STRING)"
+    return f"""
+SELECT o.o_orderkey AS example_id,
+       CASE WHEN {u} % 13 = 0 THEN {sql}
+            WHEN {u} % 17 = 0 THEN {sql} || {delim} || {db} || {delim} || 'extra'
+            WHEN {u} % 5 = 0 THEN '  ' || {sql} || ' ' || {delim} || ' ' || {db} || chr(10)
+            ELSE {sql} || {delim} || {db} END AS packed
+FROM {d.t('orders')} o
+"""
+
+
+def identifier_sql(d: Dialect) -> str:
+    """identifier(ident_id, raw): column names of the generated queries as
+    users write them (quoted, upper case, spaced, hyphenated, tabbed, NULL)."""
+    u = d.u("q.example_id * 10 + q.pos", "'ident'")
+    spaced = "replace(q.col, '_', ' ')"
+    return f"""
+SELECT q.example_id * 10 + q.pos AS ident_id,
+       CASE {u} % 6 WHEN 0 THEN q.col
+            WHEN 1 THEN '`' || upper(q.col) || '`'
+            WHEN 2 THEN '"' || q.col || '"'
+            WHEN 3 THEN chr(9) || upper({spaced}) || chr(10)
+            WHEN 4 THEN replace(q.col, '_', '-')
+            ELSE NULL END AS raw
+FROM ({query_part_sql(d)}) q WHERE q.clause = 'select'
+"""
+
+
+def decorated_column_sql(d: Dialect) -> str:
+    """decorated_column(db_id, column_idx, table_name, column_name, type):
+    catalog columns under the naming habits of real databases (spaces, units
+    in parentheses, hyphens, hashes, slashes, sized types)."""
+    u = d.u("c.db_id || '.' || CAST(c.column_idx AS STRING)", "'deco'")
+    return f"""
+SELECT c.db_id, c.column_idx, upper(substr(t.table_name, 1, 1)) || substr(t.table_name, 2) || CASE WHEN {u} % 4 = 0 THEN ' Info' ELSE '' END AS table_name,
+       CASE {u} % 7 WHEN 0 THEN c.label
+            WHEN 1 THEN c.label || ' (%)'
+            WHEN 2 THEN replace(c.column_name, '_', '-')
+            WHEN 3 THEN c.column_name || '_1-2-3'
+            WHEN 4 THEN '#' || c.column_name
+            WHEN 5 THEN '_' || c.label || ' / total_'
+            ELSE upper(c.column_name) || '--x' END AS column_name,
+       CASE {u} % 3 WHEN 0 THEN c.type || '(' || CAST({u} % 50 + 1 AS STRING) || ')'
+            WHEN 1 THEN c.type ELSE 'DECIMAL(10, 2)' END AS type
+FROM ({catalog_column_sql(d)}) c JOIN ({catalog_table_sql(d)}) t
+  ON t.db_id = c.db_id AND t.table_idx = c.table_idx
+"""
+
+
+# The twelve error labels, in taxonomy order.
+ERROR_LABELS = [
+    "attribute_mismatch", "attribute_redundancy", "attribute_missing",
+    "table_mismatch", "table_redundancy", "table_missing",
+    "value_error", "condition_missing", "condition_error",
+    "function_error", "clause_error", "modifier_error",
+]
+
+
+def raw_labels_sql(d: Dialect) -> str:
+    """raw_label(example_id, pos, label): error-type names as a model writes
+    them (upper case, spaces, hyphens, padding, unknown names)."""
+    pick = d.pick(ERROR_LABELS, f"({d.u('o.o_orderkey * 4 + s.i', chr(39) + 'lab' + chr(39))} % 12)")
+    v = f"{d.u('o.o_orderkey * 4 + s.i', chr(39) + 'labv' + chr(39))} % 6"
+    n = f"(1 + {d.u('o.o_orderkey', chr(39) + 'labn' + chr(39))} % 3)"
+    return f"""
+SELECT o.o_orderkey AS example_id, s.i AS pos,
+       CASE {v} WHEN 0 THEN {pick}
+            WHEN 1 THEN upper({pick})
+            WHEN 2 THEN ' ' || replace({pick}, '_', ' ') || ' '
+            WHEN 3 THEN replace({pick}, '_', '-')
+            WHEN 4 THEN 'syntax_error'
+            ELSE upper(substr({pick}, 1, 1)) || substr(replace({pick}, '_', ' '), 2) END AS label
+FROM {d.t('orders')} o JOIN {d.seq(3)} s ON s.i < {n}
+"""
+
+
+def file_name_sql(d: Dialect) -> str:
+    """file_name(file_id, name): output-file names of tree and prediction dumps."""
+    u = d.u("c.c_custkey", "'fname'")
+    return f"""
+SELECT c.c_custkey AS file_id,
+       CASE {u} % 4 WHEN 0 THEN 'ast_Dev_' || CAST(c.c_custkey AS STRING) || '.json'
+            WHEN 1 THEN 'bird_TRAIN-' || lower(c.c_mktsegment) || '.json'
+            WHEN 2 THEN 'predict_dev_train.json'
+            ELSE 'test_' || lower(c.c_mktsegment) || '.json' END AS name
+FROM {d.t('customer')} c
+"""
+
+
+def literal_value_sql(d: Dialect) -> str:
+    """literal_value(lit_id, text): literal texts as written in queries."""
+    u = d.u("l.l_orderkey * 8 + l.l_linenumber", "'lit'")
+    return f"""
+SELECT l.l_orderkey * 8 + l.l_linenumber AS lit_id,
+       CASE {u} % 6 WHEN 0 THEN CAST(l.l_partkey AS STRING)
+            WHEN 1 THEN '-' || CAST(l.l_suppkey AS STRING)
+            WHEN 2 THEN CAST(l.l_quantity AS STRING)
+            WHEN 3 THEN l.l_returnflag || l.l_linestatus
+            WHEN 4 THEN CAST(l.l_linenumber AS STRING) || 'e3'
+            ELSE '-' END AS text
+FROM {d.t('lineitem')} l
+"""
+
+
 # ---------------------------------------------------------------- query parts
 
 def _qp_base(d: Dialect) -> str:
@@ -465,7 +581,7 @@ ERROR_MESSAGES = [
     "wrong number of arguments to function {f}()",
     "misuse of aggregate function {f}()",
     "misuse of aggregate: {f}()",
-    "aggregate functions are not allowed in aggregate",
+    "nested aggregate functions in aggregate not allowed",
     "column must appear in the GROUP BY clause",
     "expression not in GROUP BY",
     "SELECT list expression not in GROUP BY",

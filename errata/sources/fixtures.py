@@ -88,6 +88,14 @@ class Workload:
     def tree(self) -> DataFrame:
         return self._tree
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The flattened trees (C1 output), written once to the checkpoint
+        folder so every tree operator starts from the same node table."""
+        from errata.operators.trees import flatten_trees
+
+        return flatten_trees(self.tree()).checkpoint()
+
     def error_log(self) -> DataFrame:
         return self._sql(W.error_log_sql(self.d))
 

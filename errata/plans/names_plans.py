@@ -65,13 +65,17 @@ def q_normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # B3 / B4 ------------------------------------------------------------------------
 
-def oracle_column_ids(d: W.Dialect) -> str:
-    c = "translate(lower(column_name), ' /', '__')"
+def duck_column_id(t: str, col: str) -> str:
+    c = f"translate(lower({col}), ' /', '__')"
     c = f"regexp_replace({c}, '(\\d)-(\\d)', '\\1_\\2', 'g')"
     c = f"regexp_replace({c}, '([a-z])-([a-z])', '\\1_\\2', 'g')"
     c = f"regexp_replace({c}, '[-()#%]', '', 'g')"
     c = f"regexp_replace(regexp_replace({c}, '_+', '_', 'g'), '^_+|_+$', '', 'g')"
-    return f"""SELECT db_id, column_idx, replace(lower(table_name), ' ', '_') || '.' || {c} AS column_id
+    return f"(replace(lower({t}), ' ', '_') || '.' || {c})"
+
+
+def oracle_column_ids(d: W.Dialect) -> str:
+    return f"""SELECT db_id, column_idx, {duck_column_id('table_name', 'column_name')} AS column_id
 FROM ({W.decorated_column_sql(d)}) x"""
 
 

@@ -79,6 +79,9 @@ class Dialect:
             return f"(SELECT CAST(id AS BIGINT) AS i FROM range({n}))"
         return f"(SELECT CAST(range AS BIGINT) AS i FROM range({n}))"
 
+    def collect(self, expr: str) -> str:
+        return f"collect_list({expr})" if self.spark else f"list({expr})"
+
     def pick(self, values: list[str], idx_expr: str) -> str:
         whens = " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values))
         return f"(CASE {idx_expr} {whens} END)"
@@ -706,3 +709,36 @@ SELECT a.db_id, a.column_idx AS from_idx, b.column_idx AS to_idx
 FROM fk JOIN named a ON a.table_name = fk.ft AND a.column_name = fk.fc
 JOIN named b ON b.db_id = a.db_id AND b.table_name = fk.tt AND b.column_name = fk.tc
 """
+
+
+def column_doc_sql(d: Dialect) -> str:
+    """column_doc(db_id, table_name, column_name, description): per-database
+    column descriptions, table and column names in varying case, some empty."""
+    u = d.u("c.db_id || '.' || CAST(c.column_idx AS STRING)", "'doc'")
+    return f"""
+SELECT c.db_id,
+       CASE WHEN {u} % 3 = 0 THEN upper(t.table_name) ELSE t.table_name END AS table_name,
+       CASE WHEN {u} % 4 = 0 THEN upper(c.column_name) ELSE c.column_name END AS column_name,
+       CASE WHEN {u} % 5 = 0 THEN '' ELSE 'the ' || c.label || ' of each ' || t.table_name || ' row' END AS description
+FROM ({catalog_column_sql(d)}) c JOIN ({catalog_table_sql(d)}) t
+  ON t.db_id = c.db_id AND t.table_idx = c.table_idx
+"""
+
+
+def linking_sql(d: Dialect) -> str:
+    """linking(example_id, db_id, table_name, columns ARRAY<STRING> or NULL):
+    schema-linking output per example - the tables its query touches, with
+    the (lower-case) columns used; some lists are NULL, some hold a name the
+    catalog lacks."""
+    return f"""
+WITH q AS (SELECT * FROM ({query_part_sql(d)}) x WHERE tbl IS NOT NULL),
+g AS (SELECT example_id, db_id, tbl,
+             {d.collect("CASE WHEN col IS NOT NULL AND clause <> 'join' THEN lower(col) END")} AS cols
+      FROM q GROUP BY example_id, db_id, tbl)
+SELECT g.example_id, g.db_id,
+       CASE WHEN {d.u('g.example_id', 'g.tbl')} % 2 = 0 THEN upper(g.tbl) ELSE g.tbl END AS table_name,
+       CASE WHEN {d.u('g.example_id', 'g.tbl')} % 7 = 0 THEN NULL
+            WHEN {d.u('g.example_id', 'g.tbl')} % 5 = 0 THEN {d.arr("'bogus_col'")}
+            ELSE g.cols END AS columns
+FROM g
+"""

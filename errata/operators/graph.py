@@ -78,7 +78,7 @@ def smallest_values(df: DataFrame, table_name: str, k: int = 3) -> DataFrame:
             x = F.col(c)
             cond = x.isNotNull() if prev is None else (x > prev.select(c).scalar())
             aggs.append(F.min(F.when(cond, x)).alias(c))
-        cur = df.agg(*aggs)
+        cur = df.agg(*aggs).persist()  # one row; read by the next round's filter
         rounds.append(cur.select(*[F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("rank"),
                                              F.col(c).cast("string").alias("value")).alias(c) for c in cols]))
         prev = cur

@@ -151,7 +151,7 @@ SELECT DISTINCT example_id, db_id, 'column', column_idx FROM (SELECT * FROM list
 @query("linked_subset", oracle_linked_subset)
 def q_linked_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, ct, cc, pk, fk = cat(spark, sf_dir)
-    return D.linked_subset(ct, cc, pk, fk, spark.sql(W.linking_sql(w.d)))
+    return D.linked_subset(ct, cc, pk, fk, w.linking())
 
 
 def oracle_resolve_targets(d: W.Dialect) -> str:
@@ -168,7 +168,7 @@ GROUP BY want.example_id, want.db_id, want.table_name, want.name"""
 @query("resolve_targets", oracle_resolve_targets)
 def q_resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, ct, cc, _, _ = cat(spark, sf_dir)
-    return D.resolve_targets(ct, cc, spark.sql(W.linking_sql(w.d)))
+    return D.resolve_targets(ct, cc, w.linking())
 
 
 def oracle_graph_keys(d: W.Dialect) -> str:

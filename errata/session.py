@@ -46,3 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     small files that a job writes and reads back."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "errata-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table under the shared
+    checkpoint folder and reading it back.  Unlike ``checkpoint()`` the
+    re-read table claims no partitioning, so adaptive re-planning downstream
+    never meets a stale partition count."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

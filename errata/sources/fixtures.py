@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from errata.functions.frames import ordered_join
 
 from errata.sources import workload as W
+from errata.session import materialize
 from errata.sources.loaders import catalog_snapshot
 
 
@@ -31,8 +32,19 @@ class Workload:
         return self.spark.sql(text, **frames) if frames else self.spark.sql(text)
 
     # examples and evaluation -------------------------------------------
+    @cached_property
+    def _example(self) -> DataFrame:
+        return materialize(self._sql(W.example_sql(self.d)), "example")
+
     def example(self) -> DataFrame:
-        return self._sql(W.example_sql(self.d))
+        return self._example
+
+    @cached_property
+    def _linking(self) -> DataFrame:
+        return materialize(self._sql(W.linking_sql(self.d)), "linking")
+
+    def linking(self) -> DataFrame:
+        return self._linking
 
     def eval_spine(self) -> DataFrame:
         return self._sql(W.eval_spine_sql(self.d))
@@ -43,7 +55,7 @@ class Workload:
 
     @cached_property
     def _query_part(self) -> DataFrame:
-        return self._sql(W.query_part_sql(self.d)).checkpoint()
+        return materialize(self._sql(W.query_part_sql(self.d)), "query_part")
 
     @cached_property
     def _tree_node(self) -> DataFrame:
@@ -53,9 +65,9 @@ class Workload:
         frames = {"qp": self._query_part}
         for st in W.TREE_STAGES:
             refs = {k: "{" + k + "}" for k in frames}
-            frames[st] = self.spark.sql(W.tree_stage_sql(self.d, st, refs), **frames).checkpoint()
+            frames[st] = materialize(self.spark.sql(W.tree_stage_sql(self.d, st, refs), **frames), st)
         refs = {k: "{" + k + "}" for k in frames}
-        return self.spark.sql(W.tree_stage_sql(self.d, "nodes", refs), **frames).checkpoint()
+        return materialize(self.spark.sql(W.tree_stage_sql(self.d, "nodes", refs), **frames), "tree_node")
 
     def tree_node(self) -> DataFrame:
         return self._tree_node
@@ -68,7 +80,8 @@ class Workload:
             "*",
             "CASE WHEN depth <= 1 THEN '' ELSE substring_index(path, '.', depth - 1) END AS parent",
             "CASE WHEN depth = 0 THEN 0 ELSE CAST(substring_index(path, '.', -1) AS BIGINT) END AS pos",
-            f"{W.node_head_json(self.d, '')} AS head").checkpoint()
+            f"{W.node_head_json(self.d, '')} AS head")
+        n0 = materialize(n0, "tree_head")
         prev = None
         for k in range(W.MAX_TREE_DEPTH, -1, -1):
             lvl = n0.where(F.col("depth") == k)
@@ -82,7 +95,7 @@ class Workload:
             prev = lvl.select("example_id", "parent", "pos", F.concat(
                 F.col("head"), F.lit(',"children":['), kids, F.lit("]}")).alias("js"))
             if k % 3 == 0:
-                prev = prev.checkpoint()
+                prev = materialize(prev, f"tree_level{k}")
         return prev.select("example_id", F.col("js").alias("tree_json"))
 
     def tree(self) -> DataFrame:
@@ -94,7 +107,7 @@ class Workload:
         folder so every tree operator starts from the same node table."""
         from errata.operators.trees import flatten_trees
 
-        return flatten_trees(self.tree()).checkpoint()
+        return materialize(flatten_trees(self.tree()), "nodes")
 
     def error_log(self) -> DataFrame:
         return self._sql(W.error_log_sql(self.d))
@@ -109,17 +122,39 @@ class Workload:
     def _catalog(self, text: str) -> DataFrame:
         return self.spark.sql(text.replace("base_column_raw", "{bcr}"), bcr=self.base_column_raw)
 
+    @cached_property
+    def _catalog_table(self) -> DataFrame:
+        return materialize(self._sql(W.catalog_table_sql(self.d)), "catalog_table")
+
+    @cached_property
+    def _catalog_column(self) -> DataFrame:
+        return materialize(self._catalog(W.catalog_column_sql(self.d)), "catalog_column")
+
+    @cached_property
+    def _catalog_pk(self) -> DataFrame:
+        return materialize(self._catalog(W.catalog_pk_sql(self.d)), "catalog_pk")
+
+    @cached_property
+    def _catalog_fk(self) -> DataFrame:
+        return materialize(self._catalog(W.catalog_fk_sql(self.d)), "catalog_fk")
+
     def catalog_table(self) -> DataFrame:
-        return self._sql(W.catalog_table_sql(self.d))
+        return self._catalog_table
 
     def catalog_column(self) -> DataFrame:
-        return self._catalog(W.catalog_column_sql(self.d))
+        return self._catalog_column
 
     def catalog_pk(self) -> DataFrame:
-        return self._catalog(W.catalog_pk_sql(self.d))
+        return self._catalog_pk
 
     def catalog_fk(self) -> DataFrame:
-        return self._catalog(W.catalog_fk_sql(self.d))
+        return self._catalog_fk
+
+    def prepare(self) -> None:
+        """Write every derived input once (bench and batch runs)."""
+        for t in (self.nodes, self.example(), self.linking(), self.catalog_table(), self.catalog_column(),
+                  self.catalog_pk(), self.catalog_fk()):
+            t.count()
 
 
 _CACHE: dict[tuple[int, str], Workload] = {}

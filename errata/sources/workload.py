@@ -742,3 +742,84 @@ SELECT g.example_id, g.db_id,
             ELSE g.cols END AS columns
 FROM g
 """
+
+
+# ---------------------------------------------------------------- completions and labels
+
+def label_sequence_sql(d: Dialect) -> str:
+    """label_sequence(seq_id, output): detector outputs - valid ascending token
+    lists, repeats, descending pairs, <no_error> with another token, five
+    tokens, unknown tokens, lone <no_error>."""
+    u = d.u("o.o_orderkey", "'seq'")
+    a = f"(1 + {d.u('o.o_orderkey', chr(39) + 'sa' + chr(39))} % 11)"
+    b = f"({a} + 1 + {d.u('o.o_orderkey', chr(39) + 'sb' + chr(39))} % (12 - {a}))"
+    ta = f"('<error_' || CAST({a} AS STRING) || '>')"
+    tb = f"('<error_' || CAST({b} AS STRING) || '>')"
+    return f"""
+SELECT o.o_orderkey AS seq_id,
+       CASE {u} % 7 WHEN 0 THEN {ta} || {tb}
+            WHEN 1 THEN {ta} || {ta}
+            WHEN 2 THEN {tb} || {ta}
+            WHEN 3 THEN '<no_error>' || {ta}
+            WHEN 4 THEN '<error_1><error_2><error_3><error_4><error_5>'
+            WHEN 5 THEN {ta} || '<error_99>'
+            ELSE ' <no_error> ' END AS output
+FROM {d.t('orders')} o
+"""
+
+
+def completion_sql(d: Dialect) -> str:
+    """completion(request_id, example_id, kind, text): model answers - a sql
+    fence, a bare fence, a bare SELECT with a trailing paragraph, invalid JSON,
+    valid JSON."""
+    u = d.u("o.o_orderkey", "'comp'")
+    nl = "chr(10)"
+    sql = "'SELECT o_orderpriority FROM orders WHERE o_orderkey = ' || CAST(o.o_orderkey AS STRING)"
+    return f"""
+SELECT o.o_orderkey AS request_id, o.o_orderkey AS example_id,
+       CASE {u} % 5 WHEN 0 THEN 'sql_fence' WHEN 1 THEN 'fence' WHEN 2 THEN 'bare' WHEN 3 THEN 'bad_json'
+            ELSE 'json' END AS kind,
+       CASE {u} % 5
+         WHEN 0 THEN 'Here is the fix:' || {nl} || '```SQL' || {nl} || {sql} || {nl} || '```' || {nl} || 'Done.'
+         WHEN 1 THEN '```' || {nl} || '  ' || {sql} || ' ' || {nl} || '```'
+         WHEN 2 THEN 'The query is' || {nl} || 'select ' || {sql} || {nl} || 'AND 1 = 1' || {nl} || {nl} || 'It returns the priority.'
+         WHEN 3 THEN '{{"error_types": ["value_error", ' || CAST(o.o_orderkey AS STRING)
+         ELSE '{{"error_types": [' || CASE WHEN o.o_orderkey % 3 = 0 THEN ''
+                                             WHEN o.o_orderkey % 3 = 1 THEN '"Value Error", "condition-error"'
+                                             ELSE '"bogus"' END
+              || '], "refined_sql": "' || CASE WHEN o.o_orderkey % 4 = 0 THEN '' ELSE {sql} END
+              || '", "explanation": "fixed"}}' END AS text
+FROM {d.t('orders')} o
+"""
+
+
+SECTION_HEADERS = [
+    ("[Question]", "question"), ("[External Knowledge]", "external_knowledge"),
+    ("[Question-Schema Structure]", "schema"), ("[Nodes]", "nodes"), ("[Edges]", "edges"),
+    ("[Predicted SQL]", "sql"), ("[SQL Abstract Syntax Tree]", "ast"),
+    ("[Rule-based Detection Results]", "rule_based"), ("[Execution Results]", "execution"),
+]
+
+
+def section_input_sql(d: Dialect) -> str:
+    """section_input(example_id, input): detector inputs with nine bracketed
+    sections; some repeat the question section, some carry text before the
+    first header."""
+    nl = "chr(10)"
+    u = d.u("e.example_id", "'sec'")
+    return f"""
+SELECT e.example_id,
+       CASE WHEN {u} % 6 = 0 THEN 'preamble line' || {nl} ELSE '' END
+       || '[Question]' || {nl} || e.question || {nl}
+       || '[External Knowledge]' || {nl} || e.evidence || {nl}
+       || '[Question-Schema Structure]' || {nl}
+       || '[Nodes]' || {nl} || 'orders(o_orderkey, o_custkey)' || {nl} || 'customer(c_custkey)' || {nl}
+       || '[Edges]' || {nl} || 'orders.o_custkey -> customer.c_custkey' || {nl}
+       || '[Predicted SQL]' || {nl} || '  SELECT * FROM orders WHERE o_orderkey = ' || CAST(e.example_id AS STRING) || '  ' || {nl}
+       || '[SQL Abstract Syntax Tree]' || {nl} || 'Node[0] | 0 | select | ' || {nl}
+       || '[Rule-based Detection Results]' || {nl} || 'none' || {nl}
+       || '[Execution Results]' || {nl} || 'rows: ' || CAST({u} % 9 AS STRING)
+       || CASE WHEN {u} % 4 = 0 THEN {nl} || '[Question] again: ' || {nl} || 'repeated ' || e.difficulty ELSE '' END
+       AS input
+FROM ({example_sql(d)}) e
+"""

@@ -32,11 +32,13 @@ def catalog_snapshot(spark: SparkSession, frames: dict[str, DataFrame]) -> DataF
         norm(F.col("column_name")).alias("column_norm"))
 
 
-def load_predictions(spark: SparkSession, path: str, bench: str = "bird") -> DataFrame:
-    """A1: one JSON object ``{"idx": "sql<TAB>----- bench -----<TAB>db"}`` ->
+def load_predictions(spark: SparkSession, path: str, bench: str = "bird", whole_file: bool = False) -> DataFrame:
+    """A1: JSON objects ``{"idx": "sql<TAB>----- bench -----<TAB>db"}`` ->
     prediction(example_id, db_id, predicted_sql, parse_ok).  Non-string values
-    give parse_ok = false and an empty db."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    give parse_ok = false and an empty db.  Line-delimited objects (any
+    number of entries per line, any number of files) are read in parallel;
+    ``whole_file`` reads one pretty-printed object per file."""
+    raw = spark.read.option("wholetext", "true").text(path) if whole_file else spark.read.text(path)
     m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
     sep = PACKAGE_SEP.format(bench=bench)
     from errata.operators.names import unpack_sql
@@ -47,11 +49,12 @@ def load_predictions(spark: SparkSession, path: str, bench: str = "bird") -> Dat
 
 
 def load_gold_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A2: ``sql<TAB>db`` per line, id = line number (0-based); the database is
-    after the last tab, a line without tab has an empty database."""
-    raw = spark.read.option("wholetext", "true").text(path)
-    lines = raw.select(F.posexplode(F.split(F.col("value"), "\n")).alias("example_id", "line"))
-    lines = lines.where(~((F.col("line") == "") & (F.col("example_id") > 0)))
+    """A2: ``sql<TAB>db`` per line, id = line number (0-based, across the
+    files in name order); the database is after the last tab, a line without
+    tab has an empty database.  Line numbers come from a distributed
+    ``zipWithIndex`` (one counting pass), never from one task."""
+    rdd = spark.sparkContext.textFile(path).zipWithIndex()
+    lines = spark.createDataFrame(rdd, "line string, example_id bigint")
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
     has_tab = line.contains("\t")
     return lines.select(

@@ -109,8 +109,12 @@ class Workload:
 
         return materialize(flatten_trees(self.tree()), "nodes")
 
+    @cached_property
+    def _error_log(self) -> DataFrame:
+        return materialize(self._sql(W.error_log_sql(self.d)), "error_log")
+
     def error_log(self) -> DataFrame:
-        return self._sql(W.error_log_sql(self.d))
+        return self._error_log
 
     # catalogs ----------------------------------------------------------
     @cached_property
@@ -152,7 +156,8 @@ class Workload:
 
     def prepare(self) -> None:
         """Write every derived input once (bench and batch runs)."""
-        for t in (self.nodes, self.example(), self.linking(), self.catalog_table(), self.catalog_column(),
+        for t in (self.nodes, self.example(), self.linking(), self.error_log(), self.catalog_table(),
+                  self.catalog_column(),
                   self.catalog_pk(), self.catalog_fk()):
             t.count()
 

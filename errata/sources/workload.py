@@ -79,6 +79,17 @@ class Dialect:
             return f"(SELECT CAST(id AS BIGINT) AS i FROM range({n}))"
         return f"(SELECT CAST(range AS BIGINT) AS i FROM range({n}))"
 
+    def explode_range(self, n_expr: str) -> str:
+        """Select-list generator of 0..n-1 (one row per value)."""
+        if self.spark:
+            return f"explode(sequence(CAST(0 AS BIGINT), CAST({n_expr} AS BIGINT) - 1))"
+        return f"unnest(range(0, CAST({n_expr} AS BIGINT)))"
+
+    def explode_values(self, values: list[str]) -> str:
+        """Select-list generator of a fixed list of texts."""
+        inner = ", ".join(f"'{v}'" for v in values)
+        return f"explode(array({inner}))" if self.spark else f"unnest([{inner}])"
+
     def collect(self, expr: str) -> str:
         return f"collect_list({expr})" if self.spark else f"list({expr})"
 
@@ -252,18 +263,19 @@ ERROR_LABELS = [
 def raw_labels_sql(d: Dialect) -> str:
     """raw_label(example_id, pos, label): error-type names as a model writes
     them (upper case, spaces, hyphens, padding, unknown names)."""
-    pick = d.pick(ERROR_LABELS, f"({d.u('o.o_orderkey * 4 + s.i', chr(39) + 'lab' + chr(39))} % 12)")
-    v = f"{d.u('o.o_orderkey * 4 + s.i', chr(39) + 'labv' + chr(39))} % 6"
+    pick = d.pick(ERROR_LABELS, f"({d.u('s.o_orderkey * 4 + s.i', chr(39) + 'lab' + chr(39))} % 12)")
+    v = f"{d.u('s.o_orderkey * 4 + s.i', chr(39) + 'labv' + chr(39))} % 6"
     n = f"(1 + {d.u('o.o_orderkey', chr(39) + 'labn' + chr(39))} % 3)"
     return f"""
-SELECT o.o_orderkey AS example_id, s.i AS pos,
+SELECT s.example_id, s.i AS pos,
        CASE {v} WHEN 0 THEN {pick}
             WHEN 1 THEN upper({pick})
             WHEN 2 THEN ' ' || replace({pick}, '_', ' ') || ' '
             WHEN 3 THEN replace({pick}, '_', '-')
             WHEN 4 THEN 'syntax_error'
             ELSE upper(substr({pick}, 1, 1)) || substr(replace({pick}, '_', ' '), 2) END AS label
-FROM {d.t('orders')} o JOIN {d.seq(3)} s ON s.i < {n}
+FROM (SELECT o.o_orderkey, o.o_orderkey AS example_id, {d.explode_range(n)} AS i
+      FROM {d.t('orders')} o) s
 """
 
 
@@ -329,9 +341,10 @@ def query_part_sql(d: Dialect) -> str:
     cols = "example_id, db_id, depth, clause, pos, func, tbl, col, op, val, val_type, is_desc"
     return f"""
 WITH b AS ({_qp_base(d)}),
+sel0 AS (SELECT b.example_id, b.db_id, {d.explode_range('b.n_sel')} AS i FROM b),
 sel AS (
   SELECT b.example_id, b.db_id, s.i, {sel_idx} AS k, {fn_idx} AS f
-  FROM b JOIN {d.seq(3)} s ON s.i < b.n_sel
+  FROM b JOIN sel0 s ON s.example_id = b.example_id
 )
 SELECT {cols} FROM (
   SELECT sel.example_id, sel.db_id, 0 AS depth, 'select' AS clause, sel.i AS pos,
@@ -647,14 +660,14 @@ FROM {src}
 def catalog_table_sql(d: Dialect) -> str:
     """catalog_table(db_id, table_idx, table_name): one database per customer
     holding orders, customer and a drawn subset of the other test tables."""
-    vals = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS ord" for k, t in enumerate(TABLES))
+    ords = " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(TABLES))
     return f"""
-WITH tl AS ({vals}),
+WITH tl AS (SELECT c.c_custkey, {d.explode_values(TABLES)} AS table_name FROM {d.t('customer')} c),
 inc AS (
-  SELECT 'db' || CAST(c.c_custkey AS STRING) AS db_id, tl.table_name, tl.ord
-  FROM {d.t('customer')} c CROSS JOIN tl
+  SELECT 'db' || CAST(tl.c_custkey AS STRING) AS db_id, tl.table_name, CASE tl.table_name {ords} END AS ord
+  FROM tl
   WHERE tl.table_name IN ('orders', 'customer')
-     OR {d.u('c.c_custkey', 'tl.table_name')} % 4 <> 0
+     OR {d.u('tl.c_custkey', 'tl.table_name')} % 4 <> 0
 )
 SELECT db_id, CAST(ROW_NUMBER() OVER (PARTITION BY db_id ORDER BY ord) - 1 AS BIGINT) AS table_idx,
        table_name

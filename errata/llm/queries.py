@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from errata.llm.jaccard import jaccard_components
 from errata.llm.quality import quality_rules
 from errata.llm.registry import query, table
 
@@ -13,3 +14,9 @@ from errata.llm.registry import query, table
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base quality counts and the divergence verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingle sets of every document and the components of links at 0.8."""
+    return jaccard_components(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from errata.llm import pii, secrets
 from errata.llm.jaccard import jaccard_components
 from errata.llm.quality import quality_rules
 from errata.llm.registry import query, table
@@ -20,3 +21,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingle sets of every document and the components of links at 0.8."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal-data spans of every document."""
+    return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))

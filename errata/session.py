@@ -4,6 +4,7 @@ shared folder for lineage cuts and scratch files."""
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,12 +31,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set one only when the session has none
-    (tests on a laptop).  On a cluster the shared folder comes from the
-    session configuration."""
+    """The shared folder named by ``spark.checkpoint.dir``.  A purely local
+    session (one JVM) without the setting gets a folder of its own; on any
+    other master the setting is required, since a driver's folder is not
+    visible to the executors."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = os.path.join("/tmp", "errata-checkpoints")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}")
+        d = tempfile.mkdtemp(prefix="errata-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
@@ -48,12 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "errata-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, compression: str | None = None):
     """Cut lineage by writing ``df`` as a parquet table under the shared
     checkpoint folder and reading it back.  Unlike ``checkpoint()`` the
     re-read table claims no partitioning, so adaptive re-planning downstream
     never meets a stale partition count."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from errata.llm import pii, secrets
 from errata.llm.jaccard import jaccard_components
+from errata.llm.packing import pack
 from errata.llm.quality import quality_rules
 from errata.llm.registry import query, table
 
@@ -33,3 +34,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op6_drr_packing")
+def op6_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 4096 tokens, without the ids."""
+    return pack(table(spark, sf_dir, "documents")).drop("ids", "row_key")

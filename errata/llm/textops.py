@@ -86,9 +86,10 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
         lo = hi
 
 
-def word_spans(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(s: Slice, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word, and ``first``: document i of the
-    slice holds words ``first[i]:first[i + 1]``."""
+    slice holds words ``first[i]:first[i + 1]``.  ``cuts`` flags bytes before
+    which a word is cut in two."""
     if not len(s.data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(s.rows + 1, np.int64)
@@ -101,6 +102,9 @@ def word_spans(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = edges[(edges > 0) & (edges < len(s.data))]
     opens[edges] |= inside[edges]
     closes[edges - 1] |= inside[edges - 1]
+    if cuts is not None:
+        opens |= cuts
+        closes[:-1] |= cuts[1:]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     return starts, ends, np.searchsorted(starts, s.offsets).astype(np.int64)
 

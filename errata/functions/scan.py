@@ -9,7 +9,7 @@ from errata.session import materialize
 
 
 def running_totals(df: DataFrame, order: list, values: dict[str, str], keys: list[str] | None = None) -> DataFrame:
-    """``df`` with, for each item ``out: value`` of ``values``, the sum of
+    """``df`` with, for each item ``out: value`` of ``values``, the sum of the SQL
     ``value`` over all earlier rows of the same ``keys`` in the order
     ``order`` (columns or expressions that tell all rows apart).
 
@@ -21,7 +21,7 @@ def running_totals(df: DataFrame, order: list, values: dict[str, str], keys: lis
     keys = keys or []
     ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
-    sums = ranged.groupBy("_range", *keys).agg(*[F.sum(v).alias(f"_sum_{o}") for o, v in values.items()])
+    sums = ranged.groupBy("_range", *keys).agg(*[F.sum(F.expr(v)).alias(f"_sum_{o}") for o, v in values.items()])
     over_ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_range", *keys, *[F.coalesce(F.sum(f"_sum_{o}").over(over_ranges), F.lit(0)).alias(f"_before_{o}") for o in values])
     for k in keys:
@@ -30,6 +30,6 @@ def running_totals(df: DataFrame, order: list, values: dict[str, str], keys: lis
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     within = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{o}") for o, v in values.items()])
+    rows = ranged.select("*", *[F.coalesce(F.sum(F.expr(v)).over(within), F.lit(0)).alias(f"_in_{o}") for o, v in values.items()])
     both = rows.join(offsets.withColumnRenamed("_range", "_offset_range"), same)
     return both.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_before_{o}")).alias(o) for o in values])

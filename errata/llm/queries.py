@@ -4,9 +4,11 @@ parameters, to its whole table and derives the contract's columns."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from errata.llm import pii, secrets
 from errata.llm.jaccard import jaccard_components
+from errata.llm.mixing import mix_sources, taken
 from errata.llm.packing import pack
 from errata.llm.quality import quality_rules
 from errata.llm.registry import query, table
@@ -40,3 +42,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 4096 tokens, without the ids."""
     return pack(table(spark, sf_dir, "documents")).drop("ids", "row_key")
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return taken(*mix_sources(table(spark, sf_dir, "documents"))).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shards")

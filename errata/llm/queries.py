@@ -12,6 +12,7 @@ from errata.llm.mixing import mix_sources, taken
 from errata.llm.packing import pack
 from errata.llm.quality import quality_rules
 from errata.llm.registry import query, table
+from errata.llm.sketches import fingerprints
 
 
 @query("op2_quality_rules")
@@ -49,3 +50,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return taken(*mix_sources(table(spark, sf_dir, "documents"))).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shards")
+
+
+@query("op10_iblt_fingerprints")
+def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints(table(spark, sf_dir, "documents"))

@@ -13,6 +13,7 @@ from errata.llm.packing import pack
 from errata.llm.quality import quality_rules
 from errata.llm.registry import query, table
 from errata.llm.sketches import fingerprints
+from errata.llm.toxicity import toxicity_scores
 
 
 @query("op2_quality_rules")
@@ -56,3 +57,9 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxic_lexicon")
+def op9_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +39,21 @@ from errata.session import materialize
 WEIGHTS = [5, 2, 1]
 
 
-def word_sizes(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    """(row_key, id, source, size): words of every text."""
+def word_sizes(docs: DataFrame, id_col: str, text: str, source: str, key: str | None = None) -> DataFrame:
+    """(row_key, id, source, size): words of every text.  ``key`` names a
+    column that tells rows apart; without one, rows are numbered as read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 40
         for b in batches:
-            for s in T.slices(b.column(1)):
+            for s in T.slices(b.column(3)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(key, key + s.rows)), b.column(0).slice(s.lo, s.rows), b.column(2).slice(s.lo, s.rows),
-                     pa.array(np.diff(T.word_spans(s)[2]))], names=["row_key", "id", "source", "size"])
-                key += s.rows
+                    [*(b.column(k).slice(s.lo, s.rows) for k in range(3)), pa.array(np.diff(T.word_spans(s)[2]))],
+                    names=["row_key", "id", "source", "size"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(source).cast("string").alias("source")).mapInArrow(
-        run, f"row_key long, id {id_type}, source string, size long")
+    row_key = F.col(key) if key else F.monotonically_increasing_id()
+    rows = docs.select(row_key.alias("row_key"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, f"row_key long, id {id_type}, source string, size long")
 
 
 def targets(sizes: DataFrame, weights: list[int] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -80,9 +79,9 @@ def targets(sizes: DataFrame, weights: list[int] = WEIGHTS, max_epochs: int = 3)
 
 
 def quotas(mix: DataFrame, block_words: int = 512, max_epochs: int = 3) -> DataFrame:
-    """``mix`` with the block size (a ten-thousandth of the source's words, 1
+    """``mix`` with the block size (a thousandth of the source's words, 1
     to ``block_words``), the blocks of an epoch, and the quota of draws."""
-    size = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / 10_000))).cast("long")
+    size = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / 1_000))).cast("long")
     blocks = F.ceil(F.col("source_size") / F.col("block"))
     quota = F.when(F.col("target") >= max_epochs * F.col("source_size"), max_epochs * F.col("blocks")).otherwise(
         F.least(max_epochs * F.col("blocks"), F.round(F.col("target") / F.col("block")).cast("long")))
@@ -183,12 +182,12 @@ def _segments(parts: list[tuple]) -> pa.RecordBatch:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *, shards: int = 64,
-                seed: int = 17, block_words: int = 512, weights: list[int] = WEIGHTS,
-                max_epochs: int = 3) -> tuple[DataFrame, DataFrame]:
+                seed: int = 17, block_words: int = 512, weights: list[int] = WEIGHTS, max_epochs: int = 3,
+                key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, segments): every row with its size, its source's size and
     target and its ``row_key``; and the drawn segments by shard, to be read in
     ``order_key`` order within a shard."""
-    sizes = materialize(word_sizes(docs, id_col, text, source), "mix-sizes")
+    sizes = materialize(word_sizes(docs, id_col, text, source, key), "mix-sizes")
     mix = materialize(quotas(targets(sizes, weights, max_epochs), block_words, max_epochs), "mix-quotas")
     ranges = split_quotas(mix, shards, seed)
     placed = running_totals(sizes, ["id", "row_key"], {"at": "size"}, ["source"])
@@ -202,3 +201,45 @@ def taken(known: DataFrame, segments: DataFrame) -> DataFrame:
     return known.join(used, "row_key", "left").select(
         "id", "row_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
         F.coalesce("shards", F.lit(0)).alias("shards"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix as documents: one row of ``docs``' columns per document, epoch
+    and shard, its text the drawn words (an unbroken run as it stands, runs
+    joined by a line end; a whole document unchanged), dealt by shard and
+    shuffled within.  ``n_chars``, where there is one, follows the text."""
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"),
+                        F.col(source).alias("source"), F.monotonically_increasing_id().alias("key"))
+    _, segments = mix_sources(keyed, "id", "text", "source", key="key", **options)
+    parts = segments.groupBy("row_key", "epoch", "shard").agg(
+        F.array_sort(F.collect_list(F.struct("start", "length"))).alias("runs"), F.min("order_key").alias("order_key"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = b.column(1).to_pylist()
+            out: list[str] = []
+            for s in T.slices(b.column(0)):
+                starts, ends, first = T.word_spans(s)
+                for i in range(s.rows):
+                    n = int(first[i + 1] - first[i])
+                    texts, at = [], None
+                    for r in [*runs[s.lo + i], None]:  # joins runs that touch
+                        if at is not None and (r is None or r["start"] != at[1]):
+                            lo, hi = (int(x) + int(first[i]) for x in at)
+                            whole = at[0] == 0 and at[1] == n
+                            a, z = (s.offsets[i], s.offsets[i + 1]) if whole else (starts[lo], ends[hi - 1])
+                            texts.append(s.data[a:z].tobytes().decode())
+                            at = None
+                        if r is not None:
+                            at = (at[0] if at else r["start"], r["start"] + r["length"])
+                    out.append("\n".join(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *(b.column(k) for k in range(2, 5))], names=["text", "shard", "order_key", "row"])
+
+    others = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text])
+    joined = parts.join(keyed.withColumn("rest", others).select("key", "text", "rest"), F.col("row_key") == F.col("key"))
+    rest_type = joined.schema["rest"].dataType.simpleString()
+    cuts = joined.select("text", "runs", "shard", "order_key", F.col("rest").alias("row")).mapInArrow(
+        cut, f"text string, shard int, order_key long, row {rest_type}")
+    dealt = cuts.repartition("shard").sortWithinPartitions("shard", "order_key")
+    return dealt.select(*[F.col("text").alias(c) if c == text else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+                          else F.col(f"row.`{c}`") for c in docs.columns])

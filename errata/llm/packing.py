@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +43,19 @@ def tokenize(docs: DataFrame, id_col: str, text: str, source: str, tokenizer: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        key = TaskContext.get().partitionId() << 40
         for b in batches:
-            for s in T.slices(b.column(1), SLICE):
+            for s in T.slices(b.column(3), SLICE):
                 ids, at = enc.encode(s)
                 raw = ids.astype(kind)
                 data = pa.Array.from_buffers(pa.large_binary(), s.rows, [
                     None, pa.py_buffer((at * raw.itemsize).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(key, key + s.rows)), b.column(0).slice(s.lo, s.rows), b.column(2).slice(s.lo, s.rows),
-                     pa.array(np.diff(at)), data.cast(pa.binary())], names=["row_key", "id", "source", "n", "ids"])
-                key += s.rows
+                    [*(b.column(k).slice(s.lo, s.rows) for k in range(3)), pa.array(np.diff(at)), data.cast(pa.binary())],
+                    names=["row_key", "id", "source", "n", "ids"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(source).cast("string").alias("source"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
+                       F.col(source).cast("string").alias("source"), F.col(text).alias("t"))
     return rows.mapInArrow(run, f"row_key long, id {id_type}, source string, n long, ids binary")
 
 

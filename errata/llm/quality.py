@@ -227,3 +227,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, {BASE_SCHEMA}, base_failed boolean, class_distance double, word_distance double, kept boolean"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l"))
     return rows.mapInArrow(judge(references, **limits), schema).withColumnRenamed("id", id_col)
+
+
+def keep_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
+                 reference_options: dict | None = None, **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, in one pass and unchanged."""
+    task = judge(build_references(docs, text, lang, **(reference_options or {})), **limits)
+    at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(at_text), b.column(at_lang)],
+                                                  names=["id", "t", "l"])
+            kept = [k for r in task([numbered]) for k in r.column("kept").to_pylist()]
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,25 +1,47 @@
-"""Corpus pipeline: the dealt operators as stages over ``documents``.
+"""Corpus pipeline: five of the dealt operators as stages over ``documents``.
 
 ``STAGES`` lists (name, function) pairs.  A function takes (spark, docs,
 sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet under
-``spark.checkpoint.dir`` and reads it back as the next stage's documents."""
+``spark.checkpoint.dir`` and reads it back as the next stage's documents.  All
+stages but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from errata.llm.quality import quality_rules
+from errata.llm import jaccard, mixing, packing, pii, quality
 from errata.session import materialize
 
 
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents that the quality rules reject go."""
-    kept = quality_rules(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return quality.keep_quality(docs)
 
 
-STAGES = [("quality", keep_quality)]
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: of each group of linked documents the first stays."""
+    return jaccard.drop_near_copies(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: personal data gives way to its kind in brackets."""
+    clean = pii.redact_pii(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: the documents become the mix, dealt over its shards."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: the mix becomes pieces of sequences of 4096 tokens."""
+    return packing.pack(docs).drop("row_key")
+
+
+STAGES = [("quality", quality_stage), ("near_copies", near_copy_stage), ("pii", pii_stage), ("mixing", mixing_stage),
+          ("packing", packing_stage)]
 
 # run()'s rows need the tokenizer's ids and hash draws, which SQL cannot express
 ORACLE_SQL = None

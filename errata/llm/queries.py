@@ -11,8 +11,10 @@ from errata.llm.jaccard import jaccard_components
 from errata.llm.mixing import mix_sources, taken
 from errata.llm.packing import pack
 from errata.llm.quality import quality_rules
+from errata.llm.recount import count_trees, recount
 from errata.llm.registry import query, table
 from errata.llm.sketches import fingerprints
+from errata.llm.toolcalls import link_tool_calls
 from errata.llm.toxicity import toxicity_scores
 
 
@@ -63,3 +65,41 @@ def op10_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels that are not held out."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+TOOL_SCHEMAS = [
+    ("search", '{"type":"object","required":["query","limit"],"additionalProperties":false,"properties":'
+               '{"query":{"type":"string","minLength":20},"limit":{"type":"integer","minimum":1,"maximum":50}}}'),
+    ("translate", '{"type":"object","required":["text"],"properties":{"text":{"type":"string","maxLength":2000},"lang":{"enum":["de","en","fr"]}}}'),
+]
+
+
+def tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stand-in calls and results: assistant turns call a tool with their text
+    and depend on the call two turns before; user turns answer the turn before."""
+    name_of = F.concat_ws("-", F.lit("call"), F.col("turn").cast("string"))
+    calls = conversations.where("role = 'assistant'").select(
+        "conv_id", name_of.alias("call_id"), "turn", F.expr("CASE pmod(length(text), 3) WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'lookup' END").alias("name"),
+        F.expr("""CASE WHEN pmod(length(text), 3) = 0 THEN to_json(named_struct('query', text, 'limit', pmod(length(text), 60)))
+                  ELSE to_json(named_struct('text', text, 'lang', 'en')) END""").alias("arguments"),
+        F.array(F.expr("concat('call-', turn - 2)")).alias("depends_on"))
+    results = conversations.where("role = 'user'").select(
+        "conv_id", F.expr("concat('call-', turn - 1)").alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+@query("op3_tool_call_links")
+def op3_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls linked to results, ordered, validated and serialised."""
+    calls, results = tool_calls(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, spark.createDataFrame(TOOL_SCHEMAS, "name string, schema string"))
+
+
+@query("op7_edit_recount")
+def op7_edit_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after two edits: its second
+    quarter's first 40 characters give way to its first 25, and its last 30 go."""
+    state = count_trees(table(spark, sf_dir, "documents"))
+    edits = F.expr("""array(struct(length(text) div 4 AS start, length(text) div 4 + 40 AS stop, left(text, 25) AS text),
+                            struct(greatest(0, length(text) - 50) AS start, CAST(NULL AS int) AS stop, '' AS text))""")
+    return recount(state.withColumn("edits", edits))

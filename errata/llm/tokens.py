@@ -122,7 +122,8 @@ class PieceEncoder:
     def piece_sizes(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Byte starts, ends and token counts of a slice's pieces, and ``first``."""
         source, starts, ends, first = self._pieces(s)
-        return starts, ends, self.size[self._slots(source, starts, ends)], first
+        slots = self._slots(source, starts, ends)
+        return starts, ends, self.size[slots], first
 
 
 @functools.lru_cache(maxsize=2)

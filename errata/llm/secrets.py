@@ -48,7 +48,7 @@ def _best_entropy(alphabet: str, m: str) -> str:
     """SQL: the highest entropy of a window of ``m``, in one pass.  ``count``
     has the window's count of every character and ``mass`` the sum of
     c * log2(c) over them; the entropy is log2(WINDOW) - mass / WINDOW."""
-    weight = lambda c: f"CASE WHEN {c} > 1 THEN {c} * log2({c}) ELSE 0D END"
+    weight = lambda c: f"CASE WHEN ({c}) > 1 THEN ({c}) * log2({c}) ELSE 0D END"
     grown = f"acc.mass - ({weight('acc.count[i.enter]')}) + ({weight('acc.count[i.enter] + 1')})"
     shrunk = f"acc.mass - ({weight('acc.count[i.leave]')}) + ({weight('acc.count[i.leave] - 1')})"
     return f"""aggregate(

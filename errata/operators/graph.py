@@ -219,13 +219,17 @@ def schema_relations(ct: DataFrame, cc: DataFrame, pk: DataFrame, fk: DataFrame)
                                   F.lit("identity").alias("rel")))
     tt = tt.select("db_id", F.lit("table").alias("src_kind"), F.col("t1").alias("src_idx"),
                    F.lit("table").alias("tgt_kind"), F.col("t2").alias("tgt_idx"), F.concat(F.lit("table-table-"), "rel").alias("rel"))
-    # column level: fk (from,to), fkr (to,from) applied after identity -------
-    cf = fk.select("db_id", F.col("from_idx").alias("c1"), F.col("to_idx").alias("c2"), F.lit("fk").alias("rel"), F.lit(1).alias("o"))
-    cr = fk.select("db_id", F.col("to_idx").alias("c1"), F.col("from_idx").alias("c2"), F.lit("fkr").alias("rel"), F.lit(2).alias("o"))
-    ci = cc.select("db_id", F.col("column_idx").alias("c1"), F.col("column_idx").alias("c2"), F.lit("identity").alias("rel"), F.lit(0).alias("o"))
+    # column level: identity, then key pair by key pair in (from, to) order:
+    # fk (from,to) and after it fkr (to,from); the last writer wins ----------
+    def written(c1, c2, rel, turn, within):
+        at = F.array(*[F.lit(x).cast("bigint") if isinstance(x, int) else F.col(x).cast("bigint") for x in (*turn, within)])
+        return F.col(c1).alias("c1"), F.col(c2).alias("c2"), F.lit(rel).alias("rel"), at.alias("o")
+
+    cf = fk.select("db_id", *written("from_idx", "to_idx", "fk", (1, "from_idx", "to_idx"), 0))
+    cr = fk.select("db_id", *written("to_idx", "from_idx", "fkr", (1, "from_idx", "to_idx"), 1))
+    ci = cc.select("db_id", *written("column_idx", "column_idx", "identity", (0, 0, 0), 0))
     cpairs = ci.unionByName(cf.where((F.col("c1") > 0) & (F.col("c2") > 0))).unionByName(
         cr.where((F.col("c1") > 0) & (F.col("c2") > 0)))
-    # the last writer wins: fk rows are written pair by pair, then fkr
     cpairs = cpairs.groupBy("db_id", "c1", "c2").agg(F.max_by("rel", "o").alias("rel"))
     ccr = cpairs.select("db_id", F.lit("column").alias("src_kind"), F.col("c1").alias("src_idx"),
                         F.lit("column").alias("tgt_kind"), F.col("c2").alias("tgt_idx"),

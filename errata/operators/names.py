@@ -68,10 +68,12 @@ def infer_split(df: DataFrame, col: str, out: str = "split") -> DataFrame:
 
 def literal_types(df: DataFrame, col: str) -> DataFrame:
     """Literal typing: digits with optional leading ``-`` -> int; else a
-    float if it parses; else text.  Adds (lit_type, int_value, float_value)."""
+    float if it is written as a number; else text (``1d`` is text).  Adds
+    (lit_type, int_value, float_value); ``int_value`` is NULL beyond 64 bits,
+    where the text holds all digits."""
     c = F.col(col)
     is_int = c.rlike(r"^-?[0-9]+$")
-    as_float = F.expr(f"try_cast({col} AS DOUBLE)")
+    as_float = F.when(c.rlike(NUMBER), F.expr(f"try_cast({col} AS DOUBLE)"))
     t = F.when(is_int, "int").when(as_float.isNotNull(), "float").otherwise("text")
     return df.select(
         "*", t.alias("lit_type"),
@@ -79,12 +81,17 @@ def literal_types(df: DataFrame, col: str) -> DataFrame:
         F.when(~is_int, as_float).alias("float_value"))
 
 
+# a decimal number with optional exponent, or one of the named floats
+NUMBER = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
 def ordered_head(df: DataFrame, key_col: str, n: int) -> DataFrame:
     """Order by the key numerically when every key is digits, else as
     text, and keep the first ``n`` (all when n < 0).  The all-digits test is a
     global boolean aggregate; the head is a distributed top-n."""
-    all_digits = df.agg(F.coalesce(F.min(F.col(key_col).rlike("^[0-9]+$")), F.lit(True)).alias("d"))
-    flag = all_digits.first()["d"]  # one boolean aggregate, not data
-    order = F.col(key_col).cast("decimal(38,0)") if flag else F.col(key_col)
-    out = df.orderBy(order, F.col(key_col))
+    all_digits = df.agg(F.coalesce(F.min(F.col(key_col).rlike("^[0-9]+$")), F.lit(True))).scalar()
+    # digits in numeric order, of any length: shorter first, leading zeros aside
+    digits = F.ltrim(F.col(key_col), F.lit("0"))
+    number = F.when(all_digits, F.length(digits)), F.when(all_digits, digits)
+    out = df.orderBy(*number, F.col(key_col))
     return out if n < 0 else out.limit(n)

@@ -110,7 +110,8 @@ def parse_annotations(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def flagged_samples(df: DataFrame, output_col: str, order_col: str, limit: int | None = None) -> DataFrame:
-    """Samples whose detector output is not ``<no_error>``; a falsy limit
-    keeps them all, else the first ``limit`` in input order."""
-    f = df.where(F.col(output_col) != "<no_error>")
+    """Samples whose detector output, white space at its ends aside, is
+    not ``<no_error>``; a falsy limit keeps them all, else the first ``limit``
+    in input order."""
+    f = df.where(F.regexp_replace(output_col, r"^\s+|\s+$", "") != "<no_error>")
     return f.orderBy(order_col).limit(limit) if limit else f

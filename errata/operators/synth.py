@@ -185,7 +185,7 @@ def function_error(parts: DataFrame) -> DataFrame:
                                                     F.upper("func"), F.col("newf")).alias("description"))
     r1 = _result(_replace(parts, t1.withColumn("func", F.col("newf")), {"func": F.col("func")}), info1, "function_error")
     no_call = parts.join(calls.select("example_id").distinct(), "example_id", "left_anti")
-    refs = no_call.where(F.col("col").isNotNull() & F.col("clause").isin("select", "where", "group"))
+    refs = no_call.where(F.col("col").isNotNull() & F.col("clause").isin("select", "join", "where", "group", "order"))
     t2 = _rank(refs, "h7w", _key(F.col("clause"), F.col("depth"), F.col("pos"))).where(F.col("_r") == 1).drop("_r")
     t2 = t2.withColumn("newf", fn_pick)
     info2 = t2.select("example_id", F.format_string("Wrapped column '%s' in invalid function '%s'",
@@ -227,11 +227,13 @@ def condition_error(parts: DataFrame) -> DataFrame:
 
 
 def condition_missing(parts: DataFrame) -> DataFrame:
-    """Needs a WHERE at any depth; drops the top-level WHERE (all of its
-    conditions, nested ones included)."""
+    """Needs a WHERE at any depth; drops the top-level WHERE with the
+    nested conditions that hang from it.  A query whose only WHERE is nested
+    in another clause keeps all its parts."""
     wh = parts.where(F.col("clause") == "where")
     ex = wh.select("example_id").distinct()
-    t = wh.select(*PART_KEY)
+    top = wh.where(F.col("depth") == 0).select("example_id").distinct()
+    t = wh.join(top, "example_id", "left_semi").select(*PART_KEY)
     info = ex.select("example_id", F.lit("Removed WHERE clause entirely").alias("description"))
     return _result(_drop(parts, t), info, "condition_missing")
 

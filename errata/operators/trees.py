@@ -8,11 +8,11 @@ the lexicographic order of paths, so "first in preorder" is ``min(path)``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from errata.functions.text import norm
+from errata.session import materialize
 
 NODE_SCHEMA = ("struct<node_type:string,name:string,value:string,value_type:string,"
                "cast_to:string,children:array<string>>")
@@ -25,38 +25,33 @@ NON_SELECT_CLAUSES = ["from", "where", "join", "group", "groupby", "order", "lim
 FUNCTION_NODE_TYPES = ["func", "function", "call"]
 
 
-def flatten_trees(trees: DataFrame, json_col: str = "tree_json", key: str = "example_id",
-                  max_depth: int = 16) -> DataFrame:
-    """Preorder node table of JSON trees.
+def flatten_trees(trees: DataFrame, json_col: str = "tree_json", key: str = "example_id") -> DataFrame:
+    """Preorder node table of JSON trees of any depth.
 
-    Level-by-level: each frontier row holds one node's JSON text; parsing it
+    Level by level: each frontier row holds one node's JSON text; parsing it
     yields the node's fields and its children as JSON texts, which
-    ``posexplode`` turns into the next frontier.  The loop is bounded by
-    ``max_depth`` (a property of the tree format, not of the data); a NULL
-    tree gives no rows.  Each frontier is persisted so later levels do not
-    re-parse earlier ones; a lost executor recomputes it from lineage.
+    ``posexplode`` turns into the next frontier, until a level has no
+    children.  Each parsed level is a written table, so no level is parsed
+    twice and nothing stays persisted.  A NULL tree gives no rows.
 
     Returns (key, path ARRAY<INT>, depth, pos, node_type, name, value,
     value_type, cast_to, n_children)."""
     frontier = trees.where(F.col(json_col).isNotNull()).select(
         F.col(key), F.array().cast("array<int>").alias("path"), F.col(json_col).alias("js"))
-    levels = []
-    for depth in range(max_depth + 1):
-        parsed = frontier.select(key, "path", F.from_json("js", NODE_SCHEMA).alias("n")).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        levels.append(parsed.select(
+    out, depth = None, 0
+    while True:
+        parsed = materialize(frontier.select(key, "path", F.from_json("js", NODE_SCHEMA).alias("n")), f"tree-nodes-{depth}")
+        level = parsed.select(
             key, "path", F.lit(depth).alias("depth"),
             F.coalesce(F.element_at("path", -1), F.lit(0)).alias("pos") if depth else F.lit(0).alias("pos"),
             "n.node_type", "n.name", "n.value", "n.value_type", "n.cast_to",
-            F.coalesce(F.size("n.children"), F.lit(0)).alias("n_children")))
-        if depth == max_depth:
-            break
+            F.coalesce(F.size("n.children"), F.lit(0)).alias("n_children"))
+        out = level if out is None else out.unionByName(level)
+        if parsed.where(F.size("n.children") > 0).isEmpty():
+            return out
         frontier = parsed.select(key, "path", F.posexplode("n.children").alias("p", "js")).select(
             key, F.concat("path", F.array(F.col("p").cast("int"))).alias("path"), "js")
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        depth += 1
 
 
 def nodes_by_type(nodes: DataFrame, types: list[str]) -> DataFrame:

@@ -227,9 +227,9 @@ tfb AS (SELECT tf.*, EXISTS (SELECT 1 FROM tf r WHERE r.db_id = tf.db_id AND r.t
 tt AS (SELECT db_id, t1, t2, CASE WHEN back THEN 'fkb' ELSE 'fk' END AS rel FROM tfb WHERE t1 <> t2
        UNION ALL SELECT db_id, t2, t1, 'fkr' FROM tfb WHERE NOT back AND t1 <> t2
        UNION ALL SELECT db_id, table_idx, table_idx, 'identity' FROM ct),
-cp AS (SELECT db_id, column_idx AS c1, column_idx AS c2, 'identity' AS rel, 0 AS o FROM cc
-       UNION ALL SELECT db_id, from_idx, to_idx, 'fk', 1 FROM fk WHERE from_idx > 0 AND to_idx > 0
-       UNION ALL SELECT db_id, to_idx, from_idx, 'fkr', 2 FROM fk WHERE from_idx > 0 AND to_idx > 0),
+cp AS (SELECT db_id, column_idx AS c1, column_idx AS c2, 'identity' AS rel, [0, 0, 0, 0] AS o FROM cc
+       UNION ALL SELECT db_id, from_idx, to_idx, 'fk', [1, from_idx, to_idx, 0] FROM fk WHERE from_idx > 0 AND to_idx > 0
+       UNION ALL SELECT db_id, to_idx, from_idx, 'fkr', [1, from_idx, to_idx, 1] FROM fk WHERE from_idx > 0 AND to_idx > 0),
 ccr AS (SELECT db_id, c1, c2, arg_max(rel, o) AS rel FROM cp GROUP BY db_id, c1, c2),
 tc AS (SELECT cc.db_id, cc.table_idx, cc.column_idx, CASE WHEN pk.column_idx IS NOT NULL THEN 'pk' ELSE 'has' END AS k
        FROM cc LEFT JOIN pk ON pk.db_id = cc.db_id AND pk.column_idx = cc.column_idx WHERE cc.column_idx >= 1

@@ -112,7 +112,7 @@ def q_parse_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_flagged(d: W.Dialect) -> str:
-    return f"SELECT seq_id, output FROM ({W.label_sequence_sql(d)}) s WHERE output <> '<no_error>'"
+    return f"SELECT seq_id, output FROM ({W.label_sequence_sql(d)}) s WHERE trim(output, ' ' || chr(9) || chr(10) || chr(13)) <> '<no_error>'"
 
 
 @query("flagged_samples", oracle_flagged)

@@ -177,8 +177,9 @@ def q_h9(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- H10 ---------------------------------------------------------------------
 
 def oracle_h10(d: W.Dialect) -> str:
-    extra = ",\ntgt AS (SELECT * FROM qp WHERE clause = 'where')"
-    return finish(d, _drop_sql("tgt"), "SELECT DISTINCT example_id, 'Removed WHERE clause entirely' AS description FROM tgt",
+    extra = """,
+tgt AS (SELECT * FROM qp WHERE clause = 'where' AND example_id IN (SELECT example_id FROM qp WHERE clause = 'where' AND depth = 0))"""
+    return finish(d, _drop_sql("tgt"), "SELECT DISTINCT example_id, 'Removed WHERE clause entirely' AS description FROM qp WHERE clause = 'where'",
                   "condition_missing", extra)
 
 
@@ -245,7 +246,7 @@ def oracle_h7(d: W.Dialect) -> str:
 calls AS (SELECT * FROM qp WHERE func IS NOT NULL),
 t1 AS (SELECT * FROM (SELECT c.*, {rank(k('c.clause', 'c.depth', 'c.pos'), 'h7')} AS r FROM calls c) x WHERE r = 1),
 refs AS (SELECT * FROM qp WHERE example_id NOT IN (SELECT example_id FROM calls) AND col IS NOT NULL
-         AND clause IN ('select', 'where', 'group')),
+         AND clause IN ('select', 'join', 'where', 'group', 'order')),
 t2 AS (SELECT * FROM (SELECT c.*, {rank(k('c.clause', 'c.depth', 'c.pos'), 'h7w')} AS r FROM refs c) x WHERE r = 1),
 tgt AS (SELECT *, {pick} AS newf FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) u),
 cp AS ({_replace_sql('tgt', {'func': 't.newf'})}),

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +84,9 @@ class Workload:
             "CASE WHEN depth = 0 THEN 0 ELSE CAST(substring_index(path, '.', -1) AS BIGINT) END AS pos",
             f"{W.node_head_json(self.d, '')} AS head")
         n0 = materialize(n0, "tree_head")
+        deepest = n0.agg(F.max("depth")).first()[0] or 0
+        if deepest > W.MAX_TREE_DEPTH:
+            raise ValueError(f"derived trees reach depth {deepest}; MAX_TREE_DEPTH is {W.MAX_TREE_DEPTH}")
         prev = None
         for k in range(W.MAX_TREE_DEPTH, -1, -1):
             lvl = n0.where(F.col("depth") == k)
@@ -162,13 +167,14 @@ class Workload:
             t.count()
 
 
-_CACHE: dict[tuple[int, str], Workload] = {}
+_CACHE: "weakref.WeakKeyDictionary[SparkSession, dict[str, Workload]]" = weakref.WeakKeyDictionary()
 
 
 def workload(spark: SparkSession, sf_dir: str) -> Workload:
     """One Workload per (session, directory), so registered queries share the
     derived inputs already written to the checkpoint folder."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = Workload(spark, sf_dir)
-    return _CACHE[key]
+    known = _CACHE.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in known:
+        known[key] = Workload(spark, sf_dir)
+    return known[key]

@@ -3,7 +3,7 @@ into the engine's canonical tables with Spark's own readers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,15 @@ def load_predictions(spark: SparkSession, path: str, bench: str = "bird", whole_
 def load_gold_lines(spark: SparkSession, path: str) -> DataFrame:
     """A2: ``sql<TAB>db`` per line, id = line number (0-based, across the
     files in name order); the database is after the last tab, a line without
-    tab has an empty database.  Line numbers come from a distributed
-    ``zipWithIndex`` (one counting pass), never from one task."""
-    rdd = spark.sparkContext.textFile(path).zipWithIndex()
-    lines = spark.createDataFrame(rdd, "line string, example_id bigint")
+    tab has an empty database.  A line's number is its place in its file split
+    plus the lines of the splits before it (a table of one row per split)."""
+    raw = spark.read.text(path).select(
+        F.col("value").alias("line"), F.input_file_name().alias("_file"), F.input_file_block_start().alias("_at"),
+        F.monotonically_increasing_id().alias("_row"))
+    splits = raw.groupBy("_file", "_at").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    earlier = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_at", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    lines = raw.join(splits, ["_file", "_at"]).withColumn("example_id", F.col("_before") + F.col("_row") - F.col("_first"))
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
     has_tab = line.contains("\t")
     return lines.select(

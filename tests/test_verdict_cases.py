@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from errata.operators import detect, graph, names, prompts, synth, trees
+from errata.operators import detect, evaluate, graph, names, prompts, synth, trees
 from errata.sources import loaders
 
 
@@ -57,3 +57,18 @@ def test_gold_lines_number_over_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("".join(f"select {i}\tdb{i}\n" for i in range(5, 400)))
     rows = loaders.load_gold_lines(spark, str(tmp_path)).orderBy("example_id").collect()
     assert [(r.example_id, r.gold_sql, r.db_id) for r in rows] == [(i, f"select {i}", f"db{i}") for i in range(400)]
+
+
+def test_numbers_of_all_types_and_failures_while_running(spark):
+    params = spark.createDataFrame([(1,), (2,)], "example_id long")
+    t = lambda i, side, sql: evaluate.Template(i, side, None, sql)
+    results = evaluate.run_workload(spark, [
+        t("a", "pred", "SELECT example_id, CASE example_id WHEN 1 THEN 2.0E7D ELSE 1.5D END FROM {params}"),
+        t("b", "gold", "SELECT example_id, CASE example_id WHEN 1 THEN CAST(20000000 AS DECIMAL(12,2)) ELSE CAST(1.50 AS DECIMAL(12,2)) END FROM {params}")], params, {})
+    assert {r.example_id: r.res for r in evaluate.execution_accuracy(results, params).collect()} == {1: 1, 2: 1}
+    failing = evaluate.run_workload(spark, [
+        t("a", "pred", "SELECT example_id, CAST(concat('x', example_id) AS INT) FROM {params}"),
+        t("b", "gold", "SELECT example_id, 1 FROM {params}")], params, {})
+    assert {r.example_id: r.res for r in evaluate.execution_accuracy(failing, params).collect()} == {1: 0, 2: 0}
+    assert failing.where("side = 'gold' AND ok").count() == 2
+    assert "CAST_INVALID_INPUT" in failing.where("NOT ok").first().error

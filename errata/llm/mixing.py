@@ -52,7 +52,7 @@ def word_sizes(docs: DataFrame, id_col: str, text: str, source: str, key: str |
 
     id_type = docs.schema[id_col].dataType.simpleString()
     row_key = F.col(key) if key else F.monotonically_increasing_id()
-    rows = docs.select(row_key.alias("row_key"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t"))
+    rows = T.bounded(docs).select(row_key.alias("row_key"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t"))
     return rows.mapInArrow(run, f"row_key long, id {id_type}, source string, size long")
 
 

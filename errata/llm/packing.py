@@ -33,7 +33,7 @@ from errata.llm import textops as T
 from errata.llm.tokens import default_path, encoder
 from errata.session import materialize
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def tokenize(docs: DataFrame, id_col: str, text: str, source: str, tokenizer: str) -> DataFrame:
@@ -54,7 +54,7 @@ def tokenize(docs: DataFrame, id_col: str, text: str, source: str, tokenizer: st
                     names=["row_key", "id", "source", "n", "ids"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
+    rows = T.bounded(docs).select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
                        F.col(source).cast("string").alias("source"), F.col(text).alias("t"))
     return rows.mapInArrow(run, f"row_key long, id {id_type}, source string, n long, ids binary")
 

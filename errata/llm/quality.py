@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,17 +140,15 @@ def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", *,
                     key = langs[s.lo + i]
                     words.setdefault(key, Counter()).update(plain_words(s.text_bytes(i), max_word_chars))
                     classes[key] = classes.get(key, 0) + counts[i]
-        out = [(k, 0, CLASSES[c].encode(), int(v)) for k, row in classes.items() for c, v in enumerate(row)]
-        for k, c in words.items():
-            out += [(k, 1, w, n) for w, n in c.items()]
-            if len(out) > 100_000:
-                yield _tally_batch(out)
-                out = []
-        if out:
-            yield _tally_batch(out)
+        for k, row in classes.items():
+            yield _tally_batch(k, 0, [c.encode() for c in CLASSES], row.tolist())
+        for k in list(words):
+            items = iter(words.pop(k).items())
+            while part := list(islice(items, 20_000)):
+                yield _tally_batch(k, 1, *zip(*part))
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null")
+    rows = T.bounded(docs).select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null")
     counts = (rows.mapInArrow(tally, "lang string, kind int, item binary, n long")
               .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
     counts = counts.persist()
@@ -176,10 +175,9 @@ def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", *,
     return {k: (c, cells, np.array([*n, max(0, totals[k] - sum(n))], float)) for k, (c, cells, n) in references.items()}
 
 
-def _tally_batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, kind, item, n = zip(*rows)
+def _tally_batch(lang: str | None, kind: int, items, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.string()), pa.array(kind, pa.int32()), pa.array(item, pa.binary()), pa.array(n, pa.int64())],
+        [pa.array([lang] * len(n), pa.string()), pa.array([kind] * len(n), pa.int32()), pa.array(items, pa.binary()), pa.array(n, pa.int64())],
         names=["lang", "kind", "item", "n"])
 
 

@@ -137,7 +137,7 @@ def count_trees(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tok
                     names=["id", "text", "leaf_chars", "leaf_tokens", "n_tokens"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(
+    return T.bounded(docs).select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(
         run, f"id {id_type}, text string, leaf_chars array<long>, leaf_tokens array<long>, n_tokens long").withColumnRenamed("id", id_col)
 
 

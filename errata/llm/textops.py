@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 U64 = np.uint64
 
 SPACE = np.zeros(256, dtype=bool)
@@ -27,6 +29,16 @@ _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH_ROWS`` rows at most:
+    with texts in them, Spark's default of 10,000 rows takes hundreds of MB of
+    executor memory outside the heap and as much again in Python."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection whose output bits all depend on all input bits."""
     x = x ^ (x >> U64(30))

@@ -16,7 +16,8 @@ import numpy as np
 
 from errata.llm import textops as T
 
-MAX_PIECES = 1 << 20
+MAX_PIECES = 1 << 19
+MAX_LATEST = 1 << 13
 END_ID = 2
 
 # class of each byte: 1 ASCII letter, 2 ASCII mark or digit that never shares a token with a letter
@@ -42,6 +43,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _room(have: np.ndarray, n: int) -> np.ndarray:
+    """``have`` with room for ``n`` items at least."""
+    return have if n <= len(have) else np.concatenate([have, np.zeros(max(len(have), n - len(have)), have.dtype)])
+
+
 class PieceEncoder:
     """Ids of the pieces met so far, by 64-bit hash."""
 
@@ -56,11 +62,13 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
+        # slot k has size[k] ids in flat from at[k]; slot 0 is the end of a document
+        self.flat, self.n_ids = np.zeros(1 << 16, np.uint32), 1
+        self.at, self.size, self.n_slots = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
+        self.flat[0], self.size[0] = END_ID, 1
+        # most slots in hash order; the latest by hash, until there are many
         self.hashes, self.slots = np.zeros(0, T.U64), np.zeros(0, np.int64)
-        self.flat, self.flat_size = np.zeros(1 << 20, np.uint32), 1
-        self.flat[0] = END_ID
-        # slot 0 is the end of a document
-        self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.latest: dict[int, int] = {}
 
     def _encode(self, piece: str) -> list[int]:
         if piece.isalpha() and max(piece) < "\u0250" and "\u0130" not in piece:
@@ -68,20 +76,25 @@ class PieceEncoder:
             return [t.id for t in self.model.tokenize(piece.lower().encode().decode("latin-1").translate(self.alphabet))]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Slots of new pieces."""
         lists = [self._encode(p) for p in pieces]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        need = self.flat_size + int(sizes.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), need), np.uint32)])
-        self.flat[self.flat_size:need] = np.fromiter(chain.from_iterable(lists), np.uint32, need - self.flat_size)
-        self.slots = np.concatenate([self.slots, np.arange(len(self.at), len(self.at) + len(sizes))])
-        self.at = np.concatenate([self.at, self.flat_size + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat_size = need
-        self.hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.slots = self.hashes[order], self.slots[order]
+        ids, slots = self.n_ids + int(sizes.sum()), self.n_slots + len(pieces)
+        self.flat = _room(self.flat, ids)
+        self.at, self.size = _room(self.at, slots), _room(self.size, slots)
+        self.flat[self.n_ids:ids] = np.fromiter(chain.from_iterable(lists), np.uint32, ids - self.n_ids)
+        self.at[self.n_slots:slots] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[self.n_slots:slots] = sizes
+        new = np.arange(self.n_slots, slots)
+        self.n_ids, self.n_slots = ids, slots
+        self.latest.update(zip(hashes.tolist(), new.tolist()))
+        if len(self.latest) > MAX_LATEST:
+            every = np.concatenate([self.hashes, np.fromiter(self.latest, T.U64, len(self.latest))])
+            order = np.argsort(every, kind="stable")
+            self.slots = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])[order]
+            self.hashes, self.latest = every[order], {}
+        return new
 
     def _pieces(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         whole = s.data.tobytes()
@@ -109,15 +122,20 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, np.int64)
         distinct, where, back = np.unique(T.span_hashes(source, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > MAX_PIECES and len(self.hashes):
+        if self.n_slots + len(distinct) > MAX_PIECES and self.n_slots > 1:
             self.clear()
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
-        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
-        if new.any():
-            text = source.tobytes()
+        slots = np.full(len(distinct), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
+            slots = np.where(self.hashes[at] == distinct, self.slots[at], -1)
+        if self.latest:
+            missing = np.flatnonzero(slots < 0)
+            slots[missing] = [self.latest.get(h, -1) for h in distinct[missing].tolist()]
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             k = where[new]
-            self._learn(distinct[new], [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[k], ends[k])])
-        return self.slots[np.searchsorted(self.hashes, distinct)][back]
+            slots[new] = self._learn(distinct[new], [source[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[k], ends[k])])
+        return slots[back]
 
     def piece_sizes(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Byte starts, ends and token counts of a slice's pieces, and ``first``."""

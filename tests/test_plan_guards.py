@@ -14,7 +14,7 @@ SKIP = {"load_predictions", "load_gold_lines", "load_examples", "load_detections
 
 
 def _keys():
-    from __spark_entry__ import queries
+    from errata.plans.registry import queries
 
     return sorted(k for k in queries() if k not in SKIP)
 

@@ -2,18 +2,18 @@
 paragraph digests.  Spark functions only.
 
 Paragraphs: the lines of a text, long lines cut after the word that passes
-``PIECE`` characters; texts of over ``LARGE`` characters are cut into pieces of
-a size-dependent length, so a text has a few hundred paragraphs at most per
-``LARGE`` characters.  A paragraph's digest is its 64-bit hash; a document's
-set holds its distinct digests.
+``PIECE`` characters, by one rule for texts of every length, so texts that
+share lines share digests whatever their lengths.  A paragraph's digest is its
+64-bit hash; a document's set holds its distinct digests and grows with it.
 
 Sketch: a group has three tables of ``TABLE`` cells; a digest goes into one
 cell of each, adding one to its count and XOR-ing digest and check hash.  The
 fingerprint is the one-group sketch as text.  To compare two documents their
 sketches are subtracted cell by cell, which cancels what they share, and
 peeled: a cell that holds one digest gives it up and frees its other cells.
-If cells remain, the sketches are built anew with other hashes and twice the
-groups, each of which is peeled on its own.
+If cells remain, the digests are dealt to groups by other hashes, in a number
+that grows with the sets, and each group is peeled on its own; what groups with
+remaining cells hold is dealt anew to twice as many.
 
 Likeness is 2 * common / (size + other size) from the sizes and the digests
 that peeling recovers; two empty texts are alike (1).
@@ -29,7 +29,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE, LARGE = 256, 16384
+PIECE = 256
+#: Up to this length lines are the paragraphs; no string is longer.
+LARGE = (1 << 31) - 1
 TABLE = 8
 CELLS = 3 * TABLE
 RETRIES = 12
@@ -42,9 +44,7 @@ _EMPTY = "struct(0 AS n, 0L AS k, 0L AS x)"
 
 def paragraphs(text: str) -> str:
     """SQL: the paragraphs of ``text``."""
-    size = f"CAST(pow(2, ceil(log2(length({text})))) / {PIECE} AS int)"
-    pattern = rf"CASE WHEN length({text}) <= {LARGE} THEN '[^\\n]{{1,{PIECE}}}\\S*+' ELSE concat('(?s).{{1,', {size}, '}}\\S*+') END"
-    return f"regexp_extract_all({text}, {pattern}, 0)"
+    return rf"regexp_extract_all({text}, '[^\\n]{{1,{PIECE}}}\\S*+', 0)"
 
 
 def digests(text: str) -> str:
@@ -61,18 +61,21 @@ def _at(h: str, table: int) -> str:
     return f"{table * TABLE} + CAST(shiftright({h}, {20 + 8 * table}) & {TABLE - 1} AS int)"
 
 
-def sketch(keys: str, tier: str, group: str) -> str:
-    """SQL: the cells of one group of a tier's sketch of ``keys``."""
-    placed = f"""transform({keys}, k -> struct(k AS k, {_places('k', tier)} AS h))"""
-    if group != "0":
-        placed = f"filter({placed}, e -> pmod(e.h, shiftleft(1, {tier})) = {group})"
+def _cells(placed: str) -> str:
+    """SQL: the cells of one group, from structs of digest ``k``, its place
+    hash ``h`` and its count ``s``."""
     table = lambda at: f"""transform(sequence(0, {TABLE - 1}), j -> aggregate(filter(own, e -> e.{at} = j), {_EMPTY},
-        (cell, e) -> struct(cell.n + 1 AS n, cell.k ^ e.k AS k, cell.x ^ e.x AS x)))"""
+        (cell, e) -> struct(cell.n + e.s AS n, cell.k ^ e.k AS k, cell.x ^ e.x AS x)))"""
     inside = [f"CAST(shiftright(e.h, {20 + 8 * t}) & {TABLE - 1} AS int)" for t in range(3)]
-    own = f"transform({placed}, e -> struct(e.k AS k, xxhash64(e.k) AS x, {inside[0]} AS a, {inside[1]} AS b, {inside[2]} AS c))"
+    own = f"transform({placed}, e -> struct(e.k AS k, e.s AS s, xxhash64(e.k) AS x, {inside[0]} AS a, {inside[1]} AS b, {inside[2]} AS c))"
     return f"transform(array({own}), own -> concat({table('a')}, {table('b')}, {table('c')}))[0]"
 
 
+def sketch(keys: str) -> str:
+    """SQL: the cells of the one-group sketch of ``keys``."""
+    return _cells(f"transform({keys}, k -> struct(k AS k, 1 AS s, {_places('k', '0')} AS h))")
+
+
 def minus(a: str, b: str) -> str:
     """SQL: cell-wise difference of two sketches."""
     return f"zip_with({a}, {b}, (p, q) -> struct(p.n - q.n AS n, p.k ^ q.k AS k, p.x ^ q.x AS x))"
@@ -97,14 +100,27 @@ def peel(cells: str, tier: str) -> str:
 def difference(keys_a: str, cells_a: str, keys_b: str, cells_b: str) -> str:
     """SQL: struct(l, r, whole): how many digests only either side has.  The
     fingerprints are tried first, then larger tiers, from the least that could
-    hold all digests of both sides at half load."""
-    group = f"{minus(sketch(keys_a, 't', 'g'), sketch(keys_b, 't', 'g'))}"
-    larger = f"""aggregate(transform(sequence(0, CAST(shiftleft(1, t) - 1 AS int)), g -> {peel(group, 't')}),
-        struct(0 AS l, 0 AS r, true AS whole),
-        (s, p) -> struct(s.l + p.l AS l, s.r + p.r AS r, s.whole AND p.whole AS whole))"""
+    hold all digests of both sides at half load.  A tier sorts the digests that
+    are left by group, those of the second side with count -1, so that a group's
+    cells are the difference of both sides' sketches."""
+    signed = f"concat(transform({keys_a}, k -> struct(k AS k, 1 AS s)), transform({keys_b}, k -> struct(k AS k, -1 AS s)))"
+    none = "CAST(array() AS array<struct<k:bigint,s:int>>)"
+    dealt = f"""array_sort(transform(done.rest, e -> transform(array({_places('e.k', 't')}), h ->
+        struct(pmod(h, shiftleft(1L, t)) AS g, e.k AS k, e.s AS s, h AS h))[0]))"""
+    starts = "filter(transform(dealt, (e, i) -> CASE WHEN i = 0 OR e.g <> get(dealt, i - 1).g THEN i + 1 END), i -> i IS NOT NULL)"
+    groups = f"""transform(array({dealt}), dealt -> transform(array({starts}), starts ->
+        transform(starts, (i, j) -> slice(dealt, i, coalesce(get(starts, j + 1), size(dealt) + 1) - i)))[0])[0]"""
+    peeled = f"transform({groups}, own_group -> struct(own_group AS d, {peel(_cells('own_group'), 't')} AS p))"
+    tier = f"""transform(array({peeled}), groups -> aggregate(groups, struct(done.l AS l, done.r AS r),
+            (a, g) -> CASE WHEN g.p.whole THEN struct(a.l + g.p.l AS l, a.r + g.p.r AS r) ELSE a END,
+            a -> struct(a.l AS l, a.r AS r,
+                flatten(transform(filter(groups, g -> NOT g.p.whole), g -> transform(g.d, e -> struct(e.k AS k, e.s AS s)))) AS rest)))[0]"""
     least = f"greatest(1, CAST(ceil(log2((size({keys_a}) + size({keys_b}) + 1) * 2D / {CELLS})) AS int))"
-    return f"""aggregate(sequence({least}, {least} + {RETRIES}), {peel(minus(cells_a, cells_b), '0')},
-        (done, t) -> CASE WHEN done.whole THEN done ELSE {larger} END)"""
+    return f"""aggregate(sequence({least}, {least} + {RETRIES}),
+        transform(array({peel(minus(cells_a, cells_b), '0')}), p -> CASE WHEN p.whole THEN struct(p.l AS l, p.r AS r, {none} AS rest)
+            ELSE struct(0 AS l, 0 AS r, {signed} AS rest) END)[0],
+        (done, t) -> CASE WHEN size(done.rest) = 0 THEN done ELSE {tier} END,
+        done -> struct(done.l AS l, done.r AS r, size(done.rest) = 0 AS whole))"""
 
 
 def fingerprint_text(cells: str) -> str:
@@ -167,7 +183,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("edited", F.expr("concat(left(text, n_chars - n_chars div 4), left(next.text, CAST(n_chars div 4 AS int)))"))
     rows = rows.withColumn("edited_keys", F.expr(digests("edited"))).withColumn("next_keys", F.col("next.keys"))
     for name in ("", "edited_", "next_"):
-        rows = rows.withColumn(f"{name}cells", F.expr(sketch(f"{name}keys", "0", "0")))
+        rows = rows.withColumn(f"{name}cells", F.expr(sketch(f"{name}keys")))
     rows = rows.withColumn("edited_diff", F.expr(difference("keys", "cells", "edited_keys", "edited_cells")))
     rows = rows.withColumn("next_diff", F.expr(difference("keys", "cells", "next_keys", "next_cells")))
     return rows.select(

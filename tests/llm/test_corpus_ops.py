@@ -275,6 +275,22 @@ def test_fingerprints(request, monkeypatch, table, bucket):
     assert table != "odd" or len(prints[1]) == 2  # the repeated rows share theirs
 
 
+def test_fingerprints_of_long_texts_keep_their_likeness(spark):
+    """One piece rule on both sides of 16384 and 32768 characters."""
+    rng = random.Random(4)
+    line = lambda: " ".join("w%d" % rng.randrange(10 ** 6) for _ in range(rng.randint(3, 30)))
+    rows = []
+    for n in (16500, 20000, 32800, 35662, 1_000_000):  # the short next text makes the edited one a quarter shorter
+        text = ""
+        while len(text) < n:
+            text += line() + "\n"
+        rows += [(len(rows), text[:n]), (len(rows) + 1, "short")]
+    got = {r.doc_id: r for r in sketches.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[::2]:
+        assert got[i].edited_recovered and got[i].next_recovered
+        assert abs(got[i].near_edited - 2 * 0.75 / 1.75) < 0.03, len(text)
+
+
 def test_empty_tables(spark, odd):
     none = odd.where("false")
     assert packing.pack(none).count() == sketches.fingerprints(none).count() == 0

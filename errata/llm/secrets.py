@@ -3,12 +3,14 @@ functions only.
 
 Rules: assign (a credential name, a colon or equals sign and a value of 6 or
 more characters), access (AKIA keys) and hex (24 or more) are always reported.
-Candidates are runs of 20 or more of ``A-Za-z0-9+/_-``.  A candidate's
-character class is hex (0-9a-f only) or mixed; every window of ``WINDOW``
-characters has its entropy from counts that change by the one character that
-enters and the one that leaves.  A candidate whose highest window entropy
-reaches its class's limit is reported as entropy, unless the allow-list knows
-its form or a rule has reported an overlapping span.
+Candidates are runs of 20 or more of ``A-Za-z0-9+/_-``, judged by parts: the
+texts between placeholders, and within these every segment of 20 or more hex
+digits of one case.  A part's character class is hex (0-9a-f and dashes), upper
+hex (0-9A-F and dashes) or mixed; every window of ``WINDOW`` characters has its
+entropy from counts that change by the one character that enters and the one
+that leaves.  A candidate is reported as entropy if the highest window entropy
+of a part reaches the limit of the part's class, unless the allow-list knows the
+form of the candidate or the part, or a rule has reported an overlapping span.
 
 Defined cases: null or empty text has no spans.  Repeated rows are scanned
 each; other columns are kept in ``row`` and never clash with results.
@@ -33,15 +35,20 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 
 #: Entropy limits in bits for a window of WINDOW characters.
 WINDOW = 20
-LIMITS = {"hex": 3.0, "mixed": 3.7}
-ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
+LIMITS = {"hex": 3.0, "upper_hex": 3.0, "mixed": 3.7}
+ALPHABETS = {"hex": "0123456789abcdef-", "upper_hex": "0123456789ABCDEF-",
+             "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
+CLASS_FORMS = {"hex": "^[0-9a-f-]+$", "upper_hex": "^[0-9A-F-]+$"}
+HEX_SEGMENT = "(?<![A-Za-z0-9])(?:[0-9a-f]{20,}+|[0-9A-F]{20,}+)(?![A-Za-z0-9])"
 # Forms that are no secrets although they look random.
 ALLOWED = [
     "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    "^[0-9A-F]{8}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{12}$",
     "^[A-Za-z/_+-]+$",
     "^[0-9/_+-]+$",
-    "(?i)example|placeholder|xxxx|0123456789|abcdefgh",
 ]
+#: Windows that touch one of these are not judged; the rest of the run is.
+PLACEHOLDER = "(?i)example|placeholder|x{4,}|0123456789|abcdefgh"
 
 
 def _best_entropy(alphabet: str, m: str) -> str:
@@ -75,11 +82,13 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
     by_start = f"""(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start
         ELSE int(array_position(array({order}), a.kind) - array_position(array({order}), b.kind)) END"""
     df = df.withColumn("base", F.expr(f"array_sort(concat({', '.join(f's_{k}' for k in BASE)}), {by_start})"))
-    allowed = " OR ".join(f"regexp_like(s.match, '{p}')" for p in ALLOWED)
-    df = df.withColumn("open", F.expr(f"filter(candidates, s -> NOT ({allowed}) AND NOT exists(base, b -> b.start < s.stop AND s.start < b.stop))"))
-    scores = " ".join(f"WHEN {when} THEN {_best_entropy(ALPHABETS[c], 's.match')} / {LIMITS[c]}D" for c, when in
-                      (("hex", "regexp_like(s.match, '^[0-9a-f]+$')"), ("mixed", "true")))
-    df = df.withColumn("high", F.expr(f"CASE WHEN size(open) > 0 THEN filter(open, s -> CASE {scores} END >= 1) ELSE open END"))
+    allowed = lambda m: " OR ".join(f"regexp_like({m}, '{p}')" for p in ALLOWED)
+    df = df.withColumn("open", F.expr(f"filter(candidates, s -> NOT ({allowed('s.match')}) AND NOT exists(base, b -> b.start < s.stop AND s.start < b.stop))"))
+    forms = [(c, f"regexp_like(m, '{form}')") for c, form in CLASS_FORMS.items()] + [("mixed", "true")]
+    scores = " ".join(f"WHEN {when} THEN {_best_entropy(ALPHABETS[c], 'm')} / {LIMITS[c]}D" for c, when in forms)
+    parts = f"flatten(transform(split(s.match, '{PLACEHOLDER}', -1), p -> concat(array(p), regexp_extract_all(p, '{HEX_SEGMENT}', 0))))"
+    judged = f"exists({parts}, m -> CASE WHEN length(m) < {WINDOW} OR {allowed('m')} THEN false ELSE CASE {scores} END >= 1 END)"
+    df = df.withColumn("high", F.expr(f"CASE WHEN size(open) > 0 THEN filter(open, s -> {judged}) ELSE open END"))
     return df.withColumn("spans", F.expr(f"array_sort(concat(base, high), {by_start})"))
 
 

@@ -100,6 +100,30 @@ def test_window_entropy_and_allow_list(spark):
     assert got[60] == got[61] == got[62] == ""
 
 
+def test_planted_keys_of_every_class(spark):
+    rng = random.Random(8)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    dashed = lambda alphabet, n: "-".join(key(alphabet, 8) for _ in range(n // 8 + 1))
+    lower, upper = "0123456789abcdef", "0123456789ABCDEF"
+    made = [(name, make(n)) for n in (20, 32, 40, 64) for _ in range(50) for name, make in {
+        "lower": lambda n: key(lower, n), "upper": lambda n: key(upper, n), "lower-dashes": lambda n: dashed(lower, n),
+        "upper-dashes": lambda n: dashed(upper, n), "upper-in-path": lambda n: f"keys/{key(upper, n)}/v1",
+        "mixed": lambda n: key(base64, max(n, 32)), "after-placeholder": lambda n: f"docs/example/{key(base64, max(n, 32))}",
+        "upper-after-placeholder": lambda n: f"xxxxx-{key(upper, n)}"}.items()]
+    docs = spark.createDataFrame([(i, f"see {w} here") for i, (_, w) in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest_columns(secrets.find_secrets(docs)).collect()}
+    found = Counter(name for i, (name, _) in enumerate(made) if got[i])
+    assert all(found[name] >= 0.9 * 200 for name, _ in made), found
+
+
+def test_forms_and_placeholders_are_no_secrets(spark):
+    words = ["123e4567-e89b-12d3-a456-426614174000", "123E4567-E89B-12D3-A456-426614174000", "my-example-config-file-v2", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxx1",
+             "2024-01-01-2024-02-02-2024", "0123456789ABCDEF0123456789", "AAAAAAAA-1111-AAAAAAAA-1111"]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert [r.spans for r in secrets.digest_columns(secrets.find_secrets(docs)).orderBy("doc_id").collect()] == [""] * len(words)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert pii.find_pii(none).count() == secrets.find_secrets(none).count() == quality.quality_rules(none).count() == 0

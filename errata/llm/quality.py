@@ -2,8 +2,9 @@
 language reference.
 
 References are built from the whole corpus: per language, the counts of the
-character classes and of words of up to ``max_word_chars`` bytes.  The ``common_words`` most frequent words
-of a language (ties by the word) are its common words.  A document is compared
+character classes and of words.  The ``common_words`` most frequent words of a
+language (ties by the word) are its common words; words over ``LONG_WORD`` bytes
+are counted by a digest.  A document is compared
 to its language by the Jensen-Shannon distance (base 2, 0 to 1) of both
 histograms; the word histogram has one more cell for all other words.
 
@@ -14,7 +15,8 @@ Defined cases
   ``min_words`` words, is too short to compare: distances null, the verdict is
   the base rules' alone.
 * a language (null is one of its own) with fewer than ``min_reference_words``
-  words, or beyond the ``max_languages`` largest, has no reference: the same.
+  words has no reference: the same.  The references of the ``sent_languages``
+  largest languages go to every task, the others are joined as a table.
 * repeated rows are judged each; extra columns and any row order are kept.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from itertools import islice
 
 import numpy as np
@@ -59,6 +62,11 @@ _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _LETTERS = [CLASSES.index(c) for c in ("lower", "upper", "other_letter", "digit")]
 _EDGE = b".,;:!?'\"()-#*$%&|<>"
 
+# Words above so many bytes are counted by a digest; a task sends
+# its counts on when it holds so many words.
+LONG_WORD = 32
+TALLY_WORDS = 200_000
+
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -105,11 +113,11 @@ def base_counts(s: T.Slice) -> dict[str, np.ndarray]:
     }
 
 
-def plain_words(text: bytes, max_chars: int) -> list[bytes]:
-    """Lower-cased (A-Z) words without punctuation at their ends, of at most
-    ``max_chars`` bytes."""
+def plain_words(text: bytes) -> list[bytes]:
+    """Lower-cased (A-Z) words without punctuation at their ends; a word of over
+    ``LONG_WORD`` bytes as its digest, after a byte that no UTF-8 text has."""
     words = (w.strip(_EDGE) for w in text.lower().split())
-    return [w for w in words if 0 < len(w) <= max_chars]
+    return [w if len(w) <= LONG_WORD else b"\xff" + blake2b(w, digest_size=16).digest() for w in words if w]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -123,11 +131,17 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", *, common_words: int = 200,
-                     max_word_chars: int = 10, min_reference_words: int = 1000,
-                     max_languages: int = 500) -> dict:
+                     min_reference_words: int = 1000, sent_languages: int = 500) -> tuple[dict, DataFrame | None]:
     """Language references from all rows of ``docs``: language -> (class
-    counts, {word: cell}, word counts).  At most ``max_languages`` times
-    (``common_words`` + classes) numbers reach the driver."""
+    counts, {word: cell}, word counts) of the ``sent_languages`` largest
+    languages, and a table of all others if there are any.  At most
+    ``sent_languages`` times (``common_words`` + classes) numbers reach the driver."""
+
+    def sent(words: dict) -> Iterator[pa.RecordBatch]:
+        for k in list(words):
+            items = iter(words.pop(k).items())
+            while part := list(islice(items, 20_000)):
+                yield _tally_batch(k, 1, *zip(*part))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict = {}
@@ -138,14 +152,13 @@ def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", *,
                 counts = class_counts(s)
                 for i in range(s.rows):
                     key = langs[s.lo + i]
-                    words.setdefault(key, Counter()).update(plain_words(s.text_bytes(i), max_word_chars))
+                    words.setdefault(key, Counter()).update(plain_words(s.text_bytes(i)))
                     classes[key] = classes.get(key, 0) + counts[i]
+                if sum(map(len, words.values())) > TALLY_WORDS:
+                    yield from sent(words)
         for k, row in classes.items():
             yield _tally_batch(k, 0, [c.encode() for c in CLASSES], row.tolist())
-        for k in list(words):
-            items = iter(words.pop(k).items())
-            while part := list(islice(items, 20_000)):
-                yield _tally_batch(k, 1, *zip(*part))
+        yield from sent(words)
 
     spark = docs.sparkSession
     rows = T.bounded(docs).select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null")
@@ -153,26 +166,53 @@ def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", *,
               .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
     counts = counts.persist()
     try:
-        sizes = (counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-                 .where(F.col("total") >= min_reference_words)
-                 .orderBy(F.desc("total"), F.asc_nulls_first("lang")).limit(max_languages).collect())
-        totals = {r.lang: r.total for r in sizes}
+        sizes = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference_words)
+        largest = sizes.orderBy(F.desc("total"), F.asc_nulls_first("lang")).limit(sent_languages + 1).collect()
+        totals = {r.lang: r.total for r in largest[:sent_languages]}
         place = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-        top = (counts.withColumn("place", F.row_number().over(place))
-               .where(F.col("place") <= max(common_words, len(CLASSES))))
-        kept = spark.createDataFrame([(k,) for k in totals], "kept string")  # max_languages rows at most
-        found = top.join(F.broadcast(kept), F.col("lang").eqNullSafe(F.col("kept")), "left_semi").collect()
+        top = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.when(F.col("kind") == 1, common_words).otherwise(len(CLASSES)))
+        kept = F.broadcast(spark.createDataFrame([(k,) for k in totals], "kept string"))  # sent_languages rows at most
+        found = top.join(kept, F.col("lang").eqNullSafe(F.col("kept")), "left_semi").collect()
     finally:
         counts.unpersist()
-    references: dict = {k: (np.zeros(len(CLASSES)), {}, []) for k in totals}
-    for r in sorted(found, key=lambda r: r.place):
-        classes, cells, tail = references[r.lang]
-        if r.kind == 0:
-            classes[CLASSES.index(bytes(r.item).decode())] = r.n
-        elif r.place <= common_words:
-            cells[bytes(r.item)] = len(cells)
-            tail.append(r.n)
-    return {k: (c, cells, np.array([*n, max(0, totals[k] - sum(n))], float)) for k, (c, cells, n) in references.items()}
+    cells: dict = {k: [] for k in totals}
+    for r in found:
+        cells[r.lang].append(r.asDict())
+    others = None
+    if len(largest) > sent_languages:
+        rest = sizes.join(kept, F.col("lang").eqNullSafe(F.col("kept")), "left_anti").select(F.col("lang").alias("_reference_lang"), F.col("total").alias("_reference_total"))
+        others = (top.join(rest, F.col("lang").eqNullSafe(F.col("_reference_lang"))).groupBy("_reference_lang", "_reference_total")
+                  .agg(F.collect_list(F.struct("kind", "place", "item", "n")).alias("_reference_cells")))
+    return {k: _reference(totals[k], c) for k, c in cells.items()}, others
+
+
+def _reference(total: int, found: list[dict]) -> tuple[np.ndarray, dict, np.ndarray]:
+    """(class counts, {word: cell}, word counts) of one language."""
+    classes, cells, n = np.zeros(len(CLASSES)), {}, []
+    for r in sorted(found, key=lambda r: r["place"]):
+        if r["kind"] == 0:
+            classes[CLASSES.index(bytes(r["item"]).decode())] = r["n"]
+        else:
+            cells[bytes(r["item"])] = len(cells)
+            n.append(r["n"])
+    return classes, cells, np.array([*n, max(0, total - sum(n))], float)
+
+
+def _joined_references(langs: list, total: pa.Array, cells: pa.Array) -> dict:
+    """The references that were joined to a batch's rows, by language."""
+    first = {k: i for i, k in reversed(list(enumerate(langs)))}
+    return {k: _reference(total[i].as_py(), cells[i].as_py()) for k, i in first.items() if total[i].is_valid}
+
+
+def _with_references(rows: DataFrame, lang: str, references: dict, others: DataFrame | None, run: Callable, schema) -> DataFrame:
+    """``run`` over all rows; those of languages whose reference is not in
+    ``references`` get the columns of ``others`` joined.  None of these languages
+    is among the largest, so no key of the join is hot."""
+    if others is None:
+        return rows.mapInArrow(run, schema)
+    sent = F.coalesce(F.col(lang).isin([k for k in references if k is not None]), F.lit(None in references))
+    joined = rows.where(~sent).join(others, F.col(lang).eqNullSafe(F.col("_reference_lang")), "left").drop("_reference_lang")
+    return rows.where(sent).mapInArrow(run, schema).unionAll(joined.mapInArrow(run, schema))
 
 
 def _tally_batch(lang: str | None, kind: int, items, n) -> pa.RecordBatch:
@@ -181,30 +221,30 @@ def _tally_batch(lang: str | None, kind: int, items, n) -> pa.RecordBatch:
         names=["lang", "kind", "item", "n"])
 
 
-def judge(references: dict, *, max_word_chars: int = 10, min_words: int = 50, min_letters: int = 200,
+def judge(references: dict, *, min_words: int = 50, min_letters: int = 200,
           max_class_distance: float = 0.3, max_word_distance: float = 0.6) -> Callable:
-    """A task over (id, text, lang) batches: base counts, distances and verdict."""
+    """A task over (id, text, lang) batches, with a joined reference's total and
+    cells or without: base counts, distances and verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(2).to_pylist()
+            known = references if b.num_columns == 3 else _joined_references(langs, b.column(3), b.column(4))
             for s in T.slices(b.column(1)):
                 base, classes = base_counts(s), class_counts(s)
                 by_class: list = [None] * s.rows
                 by_word: list = [None] * s.rows
                 for i in range(s.rows):
-                    reference = references.get(langs[s.lo + i])
+                    reference = known.get(langs[s.lo + i])
                     if reference is None or base["n_words"][i] < min_words or classes[i][_LETTERS].sum() < min_letters:
                         continue
                     c, cells, n = reference
-                    words = plain_words(s.text_bytes(i), max_word_chars)
-                    if not words:
-                        continue
+                    by_class[i] = js_distance(classes[i], c)
                     hist = np.zeros(len(n))
-                    for w in words:
+                    for w in plain_words(s.text_bytes(i)):
                         hist[cells.get(w, -1)] += 1
-                    by_class[i] = js_distance(classes[i], c)
-                    by_word[i] = js_distance(hist, n)
+                    if hist.any():
+                        by_word[i] = js_distance(hist, n)
                 n, r = base["n_words"], base["n_repeat_words"]
                 failed = (n < 50) | (100 * r > 50 * n)
                 far = np.array([(a is not None and a > max_class_distance) or (w is not None and w > max_word_distance)
@@ -221,23 +261,25 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
                   reference_options: dict | None = None, **limits) -> DataFrame:
     """One row per document: ``id_col``, the base counts, ``base_failed``,
     ``class_distance``, ``word_distance`` and ``kept``."""
-    references = build_references(docs, text, lang, **(reference_options or {}))
+    references, others = build_references(docs, text, lang, **(reference_options or {}))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, {BASE_SCHEMA}, base_failed boolean, class_distance double, word_distance double, kept boolean"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    return rows.mapInArrow(judge(references, **limits), schema).withColumnRenamed("id", id_col)
+    return _with_references(rows, "l", references, others, judge(references, **limits), schema).withColumnRenamed("id", id_col)
 
 
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
                  reference_options: dict | None = None, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, in one pass and unchanged."""
-    task = judge(build_references(docs, text, lang, **(reference_options or {})), **limits)
+    references, others = build_references(docs, text, lang, **(reference_options or {}))
+    task = judge(references, **limits)
+    n = len(docs.columns)
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            numbered = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(at_text), b.column(at_lang)],
-                                                  names=["id", "t", "l"])
+            columns = [pa.array(range(b.num_rows), pa.int64()), b.column(at_text), b.column(at_lang), *b.columns[n:]]
+            numbered = pa.RecordBatch.from_arrays(columns, names=["id", "t", "l", "total", "cells"][:len(columns)])
             kept = [k for r in task([numbered]) for k in r.column("kept").to_pylist()]
-            yield b.filter(pa.array(kept, pa.bool_()))
+            yield b.select(list(range(n))).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _with_references(docs, lang, references, others, run, docs.schema)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from errata.llm import pii, quality, secrets
 from errata.llm import textops as T
@@ -162,6 +163,30 @@ def test_quality_verdict(spark):
     assert {r.doc_id for r in quality.keep_quality(docs).collect()} == kept
 
 
+def test_quality_reads_words_of_any_length(spark):
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("lang = 'en'")
+    token = lambda letters: "".join(rng.choice(letters) for _ in range(40))
+    vocab = ["очень" + "длинное" * k + c for k in (1, 3) for c in "абвгдежз"]
+    dumps = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"]
+    rows = [(-1 - i, " ".join(token(letters) for _ in range(80)), "en") for i, letters in enumerate(dumps)]
+    rows += [(-10 - i, " ".join(rng.choice(vocab) for _ in range(100)), "ru") for i in range(20)]
+    got = {r.doc_id: r for r in quality.quality_rules(docs.unionByName(spark.createDataFrame(rows, docs.schema))).where("doc_id < 0").collect()}
+    assert all(got[i].class_distance > 0.3 and got[i].word_distance is not None and not got[i].kept for i in (-1, -2))
+    assert all(got[i].kept and got[i].word_distance < 0.4 for i in got if i <= -10)
+
+
+def test_quality_languages_beyond_those_sent(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumn("lang", F.expr("nullif(lang, 'de')"))
+    judged = lambda **o: sorted(map(str, quality.quality_rules(docs, reference_options=o).collect()))
+    want = judged()
+    kept = sorted(r.doc_id for r in quality.keep_quality(docs).collect())
+    for n in (0, 1):
+        assert judged(sent_languages=n) == want
+        assert sorted(r.doc_id for r in quality.keep_quality(docs, reference_options={"sent_languages": n}).collect()) == kept
+
+
 def test_js_distance():
     import numpy as np
     assert quality.js_distance(np.array([1.0, 1]), np.array([2.0, 2])) == 0

@@ -7,15 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from errata.llm import pii, secrets
+from errata.llm.alignment import alignment_measures
 from errata.llm.jaccard import jaccard_components
 from errata.llm.mixing import mix_sources, taken
 from errata.llm.packing import pack
 from errata.llm.quality import quality_rules
 from errata.llm.recount import count_trees, recount
 from errata.llm.registry import query, table
+from errata.llm.repair import damage, repair_conversations
 from errata.llm.sketches import fingerprints
+from errata.llm.tokenfiles import read_tokens, token_digests, write_tokens
 from errata.llm.toolcalls import link_tool_calls
 from errata.llm.toxicity import toxicity_scores
+from errata.session import scratch_path
 
 
 @query("op2_quality_rules")
@@ -103,3 +107,23 @@ def op7_edit_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.expr("""array(struct(length(text) div 4 AS start, length(text) div 4 + 40 AS stop, left(text, 25) AS text),
                             struct(greatest(0, length(text) - 50) AS start, CAST(NULL AS int) AS stop, '' AS text))""")
     return recount(state.withColumn("edits", edits))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of a byte-level and a sentence-piece tokenizer over every document."""
+    return alignment_measures(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after the damage drawn for its rows."""
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_orc_token_files")
+def op13_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to ORC files in id order and read back."""
+    path = scratch_path(spark, "orc-tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_digests(read_tokens(spark, path))

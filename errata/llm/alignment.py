@@ -29,9 +29,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,10 @@ from errata.llm.tokens import _byte_letters
 from errata.session import materialize
 
 FREQUENT_PAIRS = 500_000
-MAX_CHUNKS = 1 << 17
-MAX_CHUNK_BYTES = 1 << 10
-#: Bits of the second tokenizer's ids in a pair's code.
-B_BITS = 17
+#: A worker's chunks start anew beyond these.
+MAX_CHUNKS, MAX_LINKS = 1 << 18, 1 << 22
+#: Bits of the second tokenizer's ids in a pair's code, and of the code.
+B_BITS, CODE_BITS = 17, 34
 
 
 def default_paths() -> tuple[str, str]:
@@ -58,17 +58,25 @@ def default_paths() -> tuple[str, str]:
 
 @dataclass
 class Aligned:
-    """What a chunk or a text adds up to."""
+    """Alignments of texts: n_a, n_b, n_groups and 1 by row (zeros where the
+    bytes differ), the groups' texts, and all links' codes with their number by row."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    pairs: dict[int, int]
+    counts: np.ndarray
+    groups: list[bytes]
+    sizes: np.ndarray
+    links: np.ndarray
 
-    @property
-    def n_links(self) -> int:
-        return self.n_a + self.n_b - self.n_groups
+    @classmethod
+    def none(cls, n: int) -> Aligned:
+        return cls(np.zeros((n, 4), np.int64), [b""] * n, np.zeros(n, np.int64), np.zeros(0, np.uint64))
+
+    def spread(self, rows: np.ndarray, n: int) -> Aligned:
+        """These as rows ``rows`` of ``n``, the others without tokens."""
+        out = Aligned.none(n)
+        out.counts[rows], out.sizes[rows], out.links = self.counts, self.sizes, self.links
+        for k, text in zip(rows.tolist(), self.groups):
+            out.groups[k] = text
+        return out
 
 
 def cuts_before_words(data: np.ndarray) -> np.ndarray:
@@ -104,74 +112,114 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = {c: b for b, c in _byte_letters().items()} | {chr(b): b for b in range(256) if b not in _byte_letters()}
-        self.bytes_a: dict[int, bytes] = {}
-        for token, i in self.a.get_vocab(with_added_tokens=True).items():
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.bytes_b, self.cuts = [], True
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
             self.cuts &= all(x == "▁" or y != "▁" for x, y in zip(piece, piece[1:]))
-        self.known: dict[bytes, Aligned | None] = {}
-
-    def align(self, raws: list[bytes]) -> list[Aligned | None]:
-        """Alignments of texts that have their leading space; None for those
-        whose tokens have other bytes."""
+        self.marked = []
+        for spelt, mark in ((self.bytes_a, b"|"), (self.bytes_b, b";")):
+            marked = np.empty(2 * len(spelt), object)
+            for i in range(len(spelt)):
+                marked[2 * i], marked[2 * i + 1] = b"%d," % i, b"%d%s" % (i, mark)
+            self.marked.append(marked)
+        self.clear()
+
+    def align(self, raws: list[bytes]) -> Aligned:
+        """Alignments of texts that have their leading space.  All tokens stand
+        in a row: every end of one, in either tokenizer, closes one link, and
+        every common end a group."""
         texts = [raw.decode("utf-8", "replace") for raw in raws]
-        ids_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [self._groups(raw, a, b) for raw, a, b in zip(raws, ids_a, ids_b)]
-
-    def _groups(self, raw: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        out, pairs = [], Counter()
-        i = j = first_i = first_j = 0
-        end_a, end_b = len(parts_a[0]), len(parts_b[0])
-        while True:
-            pairs[a[i] << B_BITS | b[j]] += 1
-            if end_a == end_b:
-                out.append(",".join(map(str, a[first_i:i + 1])) + "|" + ",".join(map(str, b[first_j:j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return Aligned(len(a), len(b), len(out), ";".join(out).encode(), pairs)
-                first_i, first_j = i, j
-                end_a, end_b = end_a + len(parts_a[i]), end_b + len(parts_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(parts_a[i])
-            else:
-                j += 1
-                end_b += len(parts_b[j])
-
-    def texts(self, raws: list[bytes]) -> Iterator[Aligned | None]:
-        """Alignments of whole texts (without the leading space), chunk by chunk."""
-        split = []
-        for raw in raws:
-            data = np.frombuffer(b" " + raw, np.uint8)
-            at = [0, *np.flatnonzero(cuts_before_words(data)).tolist(), len(data)] if self.cuts else [0, len(data)]
-            whole = data.tobytes()
-            split.append([whole[lo:hi] for lo, hi in zip(at[:-1], at[1:])])
-        if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.known))
-        fresh = dict(zip(new, self.align(new)))
-        for raw, chunks in zip(raws, split):
-            parts = [fresh[c] if c in fresh else self.known[c] for c in chunks]
-            if not raw:
-                yield None
-            elif any(p is None for p in parts):
-                yield parts[0] if len(parts) == 1 else self.align([b" " + raw])[0]
-            else:
-                pairs: dict[int, int] = {}
-                times = Counter(chunks)
-                for c, k in times.items():
-                    for code, n in (fresh[c] if c in fresh else self.known[c]).pairs.items():
-                        pairs[code] = pairs.get(code, 0) + n * k
-                yield Aligned(sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts),
-                              b";".join(p.groups for p in parts), pairs)
-        self.known.update((c, v) for c, v in fresh.items() if len(c) <= MAX_CHUNK_BYTES)
+        ids, ends, count = [], [], []
+        broken = np.zeros(len(raws), bool)
+        stops = np.cumsum([len(raw) for raw in raws])
+        for lists, spelt in (([e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.bytes_a),
+                             (self.b.encode([t[1:] for t in texts], num_threads=1), self.bytes_b)):
+            flat = [spelt[i] for i in chain.from_iterable(lists)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            total = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
+            reached = np.concatenate([[0], total])[np.cumsum(sizes)]
+            if b"".join(flat) != b"".join(raws) or (reached != stops).any():  # which texts?
+                broken |= np.fromiter((b"".join([spelt[i] for i in x]) != raw for x, raw in zip(lists, raws)), bool, len(raws))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, len(flat)))
+            ends.append(total)
+            count.append(sizes)
+        if broken.any():
+            kept = np.flatnonzero(~broken)
+            return self.align([raws[k] for k in kept.tolist()]).spread(kept, len(raws)) if len(kept) else Aligned.none(len(raws))
+        points = np.union1d(*ends)
+        at = [np.searchsorted(e, points) for e in ends]
+        common = np.intersect1d(*ends, assume_unique=True)
+        links, groups = (np.diff(np.searchsorted(x, stops, "right"), prepend=0) for x in (points, common))
+        # groups' text: each id with the mark after it, the first tokenizer's of a group before the second's
+        pieces, turn = [], []
+        for side, (i, e) in enumerate(zip(ids, ends)):
+            group = np.searchsorted(common, e)
+            last = common[group] == e
+            pieces.append(self.marked[side][2 * i + last])
+            turn.append(2 * group + side)
+        order = np.argsort(np.concatenate(turn), kind="stable")
+        pieces = np.concatenate(pieces)[order].tolist()
+        text = b"".join(pieces)
+        lengths = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        cut = lengths[np.cumsum(count[0] + count[1]) - 1].tolist()
+        return Aligned(np.column_stack([*count, groups, np.ones(len(raws), np.int64)]), [text[lo:hi - 1] for lo, hi in zip([0, *cut[:-1]], cut)],
+                       links, (ids[0][at[0]] << B_BITS | ids[1][at[1]]).astype(np.uint64))
+
+    def _learn(self, hashes: list[int], raws: list[bytes]) -> None:
+        """Give new chunks their slots."""
+        found = self.align(raws)
+        self.slot.update(zip(hashes, range(len(self.groups), len(self.groups) + len(raws))))
+        self.groups += found.groups
+        at = len(self.links) + np.cumsum(found.sizes) - found.sizes
+        self.chunks = np.concatenate([self.chunks, np.column_stack([found.counts, at, found.sizes])])
+        self.links = np.concatenate([self.links, found.links])
+
+    def clear(self) -> None:
+        # slot k: its groups' text, then n_a, n_b, n_groups, whole?, place and number of its links
+        self.slot: dict[int, int] = {}
+        self.groups: list[bytes] = []
+        self.chunks, self.links = np.zeros((0, 6), np.int64), np.zeros(0, np.uint64)
+
+    def texts(self, s: T.Slice) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Of a slice's texts: (n_a, n_b, n_groups) by row, their groups, and
+        their links' sorted keys (row and pair code) with counts."""
+        data = np.insert(s.data, s.offsets[:-1], 32)
+        offsets = s.offsets + np.arange(s.rows + 1)
+        opens = cuts_before_words(data) if self.cuts else np.zeros(len(data), bool)
+        opens[offsets[:-1]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))
+        first = np.searchsorted(starts, offsets)
+        distinct, where, back = np.unique(T.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.groups) > MAX_CHUNKS or len(self.links) > MAX_LINKS:
+            self.clear()
+        names = distinct.tolist()
+        new = [k for k, h in enumerate(names) if h not in self.slot]
+        if new:
+            self._learn([names[k] for k in new], [data[starts[i]:ends[i]].tobytes() for i in where[new].tolist()])
+        slots = np.array([self.slot[h] for h in names], np.int64)[back]
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.chunks[slots, :4], axis=0)])
+        measures = sums[first[1:]] - sums[first[:-1]]
+        broken = np.flatnonzero(measures[:, 3] < np.diff(first))
+        texts = [self.groups[k] for k in slots.tolist()]
+        bounds = first.tolist()
+        groups = [b";".join(texts[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
+        rows = np.repeat(np.arange(s.rows), np.diff(first))
+        kept = ~np.isin(rows, broken) if len(broken) else np.ones(len(rows), bool)
+        at, sizes = self.chunks[slots[kept], 4], self.chunks[slots[kept], 5]
+        total = np.cumsum(sizes) - sizes
+        codes = self.links[np.repeat(at - total, sizes) + np.arange(sizes.sum())]
+        keys = [np.repeat(rows[kept].astype(np.uint64), sizes) << T.U64(CODE_BITS) | codes]
+        for i in broken.tolist():  # judged whole
+            found = self.align([data[offsets[i]:offsets[i + 1]].tobytes()])
+            measures[i], groups[i] = found.counts[0], found.groups[0]
+            keys.append(found.links | T.U64(i << CODE_BITS))
+        return measures[:, :3], groups, *np.unique(np.concatenate(keys), return_counts=True)
 
 
 @functools.lru_cache(maxsize=1)
@@ -190,19 +238,16 @@ def _align(path_a: str, path_b: str):
         both = aligner(path_a, path_b)
         for b in batches:
             for s in T.slices(b.column(2)):
-                out = []
-                for found in both.texts([s.text_bytes(i) for i in range(s.rows)]):
-                    if found is None:
-                        out.append((0, 0, 0, 0, "", b"", b""))
-                        continue
-                    codes = np.fromiter(found.pairs, np.uint64, len(found.pairs))
-                    counts = np.fromiter(found.pairs.values(), np.uint32, len(codes))
-                    order = np.argsort(codes)
-                    out.append((found.n_a, found.n_b, found.n_groups, found.n_links, hashlib.sha256(found.groups).hexdigest(),
-                                codes[order].tobytes(), counts[order].tobytes()))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out), [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.rows), b.column(1).slice(s.lo, s.rows), *cols],
-                                                 names=[c.split()[0] for c in ALIGNED.split(", ")])
+                measures, groups, keys, counts = both.texts(s)
+                codes = keys & T.U64((1 << CODE_BITS) - 1)
+                at = np.searchsorted(keys, np.arange(s.rows + 1, dtype=np.uint64) << T.U64(CODE_BITS))
+                counts = counts.astype(np.uint32)
+                binary = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])], pa.binary())  # noqa: E731,B023
+                n_a, n_b, n_groups = measures.T.copy()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(s.lo, s.rows), b.column(1).slice(s.lo, s.rows), *map(pa.array, (n_a, n_b, n_groups, n_a + n_b - n_groups)),
+                     pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups]), binary(codes), binary(counts)],
+                    names=[c.split()[0] for c in ALIGNED.split(", ")])
 
     return run
 

@@ -836,3 +836,54 @@ SELECT e.example_id,
        AS input
 FROM ({example_sql(d)}) e
 """
+
+
+# ---------------------------------------------------------------- outcomes of changed queries
+
+def run_draw_sql(d: Dialect, sql: str = "m.sql") -> str:
+    """How an executed query of example ``m.example_id`` turned out (0 to 5), by
+    a draw on its text: 0 fails, 1 and 2 return the original's rows, 3 returns
+    them twice, 4 and 5 leave out an order's first line."""
+    return d.u(f"m.example_id || ':' || md5({sql})", "'outcome'") + " % 6"
+
+
+def outcome_row_sql(d: Dialect, made: str, key: str = "example_id") -> str:
+    """Executed rows of original and changed queries, ``made`` being (key,
+    example_id, sql): (key, side, ok, row ARRAY<STRING>).  The original query of
+    an example returns its order's lines, and fails for some examples."""
+    row = d.arr("CAST(l.l_linenumber AS STRING)", "CAST(l.l_partkey AS STRING)")
+    none = "CAST(NULL AS ARRAY<STRING>)" if d.spark else "CAST(NULL AS VARCHAR[])"
+    failed = f"{d.u('m.example_id', chr(39) + 'orig' + chr(39))} % 13 = 0"
+    v = run_draw_sql(d)
+    lines = f"{made} m JOIN {d.t('lineitem')} l ON l.l_orderkey = m.example_id"
+    return f"""
+SELECT m.{key}, 'gold' AS side, TRUE AS ok, {row} AS row FROM {lines} WHERE NOT ({failed})
+UNION ALL SELECT m.{key}, 'gold', FALSE, {none} FROM {made} m WHERE {failed}
+UNION ALL SELECT m.{key}, 'pred', TRUE, {row} FROM {lines} WHERE {v} IN (1, 2, 3) OR ({v} >= 4 AND l.l_linenumber > 1)
+UNION ALL SELECT m.{key}, 'pred', TRUE, {row} FROM {lines} WHERE {v} = 3
+UNION ALL SELECT m.{key}, 'pred', FALSE, {none} FROM {made} m WHERE {v} = 0
+"""
+
+
+def predicted_part_sql(d: Dialect) -> str:
+    """Parts of a predicted query per example: the gold query's without its
+    DISTINCT; some predictions have an id that no example has."""
+    cols = "db_id, depth, clause, pos, func, tbl, col, op, val, val_type, is_desc"
+    extra = f"SELECT -q.example_id AS example_id, {cols} FROM ({query_part_sql(d)}) q WHERE q.example_id % 50 = 0 AND q.clause <> 'distinct'"
+    return f"SELECT q.example_id, {cols} FROM ({query_part_sql(d)}) q WHERE q.clause <> 'distinct' UNION ALL {extra}"
+
+
+def prediction_row_sql(d: Dialect) -> str:
+    """Executed rows of gold and predicted queries per example: (example_id,
+    side, ok, row); a prediction is right, lacks the first line, is right with
+    every row twice, or fails."""
+    row = d.arr("CAST(l.l_linenumber AS STRING)", "CAST(l.l_partkey AS STRING)")
+    none = "CAST(NULL AS ARRAY<STRING>)" if d.spark else "CAST(NULL AS VARCHAR[])"
+    v = d.u("o.o_orderkey", "'predrun'") + " % 4"
+    lines = f"{d.t('orders')} o JOIN {d.t('lineitem')} l ON l.l_orderkey = o.o_orderkey"
+    return f"""
+SELECT o.o_orderkey AS example_id, 'gold' AS side, TRUE AS ok, {row} AS row FROM {lines}
+UNION ALL SELECT o.o_orderkey, 'pred', TRUE, {row} FROM {lines} WHERE {v} IN (0, 2) OR ({v} = 1 AND l.l_linenumber > 1)
+UNION ALL SELECT o.o_orderkey, 'pred', TRUE, {row} FROM {lines} WHERE {v} = 2
+UNION ALL SELECT o.o_orderkey, 'pred', FALSE, {none} FROM {d.t('orders')} o WHERE {v} = 3
+"""

@@ -48,6 +48,15 @@ class Workload:
     def linking(self) -> DataFrame:
         return self._linking
 
+    @cached_property
+    def _picklists(self) -> DataFrame:
+        from errata.operators.values import picklists
+
+        return materialize(picklists({t: self.table(t) for t in W.TABLES}), "picklists")
+
+    def picklists(self) -> DataFrame:
+        return self._picklists
+
     def eval_spine(self) -> DataFrame:
         return self._sql(W.eval_spine_sql(self.d))
 

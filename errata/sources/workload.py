@@ -838,6 +838,27 @@ FROM ({example_sql(d)}) e
 """
 
 
+def value_question_sql(d: Dialect) -> str:
+    """value_question(example_id, db_id, question): one per order, naming a part
+    of its first line and its customer's nation, the part's name as written,
+    in the plural, with a letter missing or doubled, possessive, or in capitals."""
+    u = d.u("o.o_orderkey", "'vq'")
+    return f"""
+SELECT o.o_orderkey AS example_id, 'db' || CAST(o.o_custkey AS STRING) AS db_id,
+       CASE WHEN {u} % 3 = 0 THEN ' Which ' ELSE 'Who bought ' END
+         || CASE {u} % 7 WHEN 0 THEN p.p_name || 's' WHEN 1 THEN substr(p.p_name, 1, 5) || substr(p.p_name, 7)
+                 WHEN 2 THEN substr(p.p_name, 1, 4) || substr(p.p_name, 4) WHEN 3 THEN p.p_name || chr(39) || 's'
+                 WHEN 4 THEN upper(p.p_name) WHEN 5 THEN replace(p.p_name, ' ', ', ') ELSE p.p_name END
+         || CASE WHEN {u} % 2 = 0 THEN ' of type ' || lower(p.p_type) ELSE ' "' || p.p_brand || '"' END
+         || ' in ' || lower(n.n_name) || CASE WHEN {u} % 5 = 0 THEN '' ELSE '?' END AS question
+FROM {d.t('orders')} o
+JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM {d.t('lineitem')} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
+JOIN {d.t('part')} p ON p.p_partkey = l.l_partkey
+JOIN {d.t('customer')} c ON c.c_custkey = o.o_custkey
+JOIN {d.t('nation')} n ON n.n_nationkey = c.c_nationkey
+"""
+
+
 # ---------------------------------------------------------------- outcomes of changed queries
 
 def run_draw_sql(d: Dialect, sql: str = "m.sql") -> str:

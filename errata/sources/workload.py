@@ -908,3 +908,22 @@ UNION ALL SELECT o.o_orderkey, 'pred', TRUE, {row} FROM {lines} WHERE {v} IN (0,
 UNION ALL SELECT o.o_orderkey, 'pred', TRUE, {row} FROM {lines} WHERE {v} = 2
 UNION ALL SELECT o.o_orderkey, 'pred', FALSE, {none} FROM {d.t('orders')} o WHERE {v} = 3
 """
+
+
+def annotated_example_sql(d: Dialect) -> str:
+    """annotated_example(example_id, db_id, question, evidence, gold_sql,
+    predicted_sql): gold queries in five shapes, one of which fails."""
+    u = d.u("e.example_id", "'gshape'")
+    key = "CAST(e.example_id AS STRING)"
+    quote = "chr(39)"
+    return f"""
+SELECT e.example_id, e.db_id, e.question, e.evidence,
+       CASE {u} % 5 WHEN 0 THEN 'SELECT o_orderpriority FROM orders WHERE o_orderkey = ' || {key}
+            WHEN 1 THEN 'SELECT o.o_orderpriority FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = ' || {key}
+            WHEN 2 THEN 'SELECT o_orderstatus FROM orders WHERE o_orderkey = ' || {key} || ' LIMIT 1'
+            WHEN 3 THEN 'SELECT o_orderpriority FROM orders WHERE o_orderpriority <> ' || {quote} || 'it' || {quote} || {quote} || 's 5' || {quote}
+                        || ' AND o_orderkey = ' || {key} || ' AND o_totalprice > 0.5'
+            ELSE 'SELECT o_priority FROM orders WHERE o_orderkey = ' || {key} END AS gold_sql,
+       'SELECT o_orderpriority FROM orders WHERE o_custkey = ' || {key} AS predicted_sql
+FROM ({example_sql(d)}) e
+"""

@@ -8,7 +8,7 @@ the lexicographic order of paths, so "first in preorder" is ``min(path)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from errata.functions.text import norm
@@ -54,10 +54,63 @@ def flatten_trees(trees: DataFrame, json_col: str = "tree_json", key: str = "exa
         depth += 1
 
 
+# Arguments of a complete tree that a compact tree leaves out, the
+# order of the others (those not named come last, by name), types whose
+# children vanish, and types that keep their first argument alone.
+SKIPPED_ARGS = ["typed", "safe", "format", "action", "default", "catalog", "db", "hint", "kind", "operation_modifiers",
+                "limit_options", "with_fill", "nested", "prefix"]
+ARG_ORDER = ["this", "left", "right", "expression", "expressions", "from_", "joins", "where", "group", "having", "order", "limit", "offset"]
+LEAF_TYPES = ["table", "column", "literal", "null"]
+WRAPPER_TYPES = ["paren", "cast"]
+
+
+def compact_trees(nodes: DataFrame) -> DataFrame:
+    """Complete trees -> compact trees, of any depth.
+
+    ``nodes``: (example_id, node_id, parent_id, arg_key, pos, node_type, name,
+    value, value_type, cast_to), a null ``parent_id`` at the root; ``pos`` numbers
+    the nodes of a list argument.  A node goes, with all below it, if it is an
+    identifier, stands under a skipped argument, under a leaf, or under another
+    argument of a parenthesis or a cast than their first.  The others keep their
+    order by (argument's rank, argument, pos) and get positions anew.
+
+    Both what goes and the new paths come down from the ancestors by pointer
+    doubling: after round k a node knows of 2**k ancestors, so the rounds are
+    the logarithm of the depth, each an equi-join on (example_id, node_id).
+    Returns (example_id, path ARRAY<INT>, node_type, name, value, value_type, cast_to)."""
+    above = nodes.select("example_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("over"))
+    told = nodes.join(above, ["example_id", "parent_id"], "left")
+    gone = ((F.col("node_type") == "identifier") | F.col("arg_key").isin(SKIPPED_ARGS) | F.col("over").isin(LEAF_TYPES)
+            | (F.col("over").isin(WRAPPER_TYPES) & (F.col("arg_key") != "this")))
+    state = told.select("example_id", "node_id", F.col("parent_id").alias("up"), F.coalesce(gone, F.lit(False)).alias("gone"))
+    fate = _double(state, "gone", lambda own, higher: own | higher, "compact-fate")
+    kept = told.join(fate.where("NOT gone").select("example_id", "node_id"), ["example_id", "node_id"], "left_semi")
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in ARG_ORDER]), F.col("arg_key")), F.lit(0))
+    w = Window.partitionBy("example_id", "parent_id").orderBy(F.when(rank == 0, 10_000).otherwise(rank), "arg_key", "pos", "node_id")
+    step = F.when(F.col("parent_id").isNotNull(), F.array((F.row_number().over(w) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    paths = _double(kept.select("example_id", "node_id", F.col("parent_id").alias("up"), step.alias("path")), "path",
+                    lambda own, higher: F.concat(higher, own), "compact-paths")
+    null = F.col("node_type") == "null"
+    return kept.join(paths, ["example_id", "node_id"]).select(
+        "example_id", "path", F.when(null, "literal").otherwise(F.col("node_type")).alias("node_type"), "name",
+        F.when(~null, F.col("value")).alias("value"), F.when(null, "null").otherwise(F.col("value_type")).alias("value_type"),
+        F.when(F.col("node_type") == "cast", F.col("cast_to")).alias("cast_to"))
+
+
+def _double(state: DataFrame, value: str, join, name: str) -> DataFrame:
+    """(example_id, node_id, value) after ``value`` of all ancestors has been
+    joined into each node's; ``state`` has ``up``, the parent."""
+    state = materialize(state, name)
+    while not state.where("up IS NOT NULL").isEmpty():
+        higher = state.select("example_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col(value).alias("_value"))
+        state = materialize(state.join(higher, ["example_id", "up"], "left").select(
+            "example_id", "node_id", F.col("_up").alias("up"),
+            F.when(F.col("_value").isNull(), F.col(value)).otherwise(join(F.col(value), F.col("_value"))).alias(value)), name)
+    return state.select("example_id", "node_id", value)
+
+
 def nodes_by_type(nodes: DataFrame, types: list[str]) -> DataFrame:
     """Nodes of a type (or type set) with their preorder rank per tree."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("example_id").orderBy("path")
     return nodes.where(F.col("node_type").isin(types)).withColumn("rank", F.row_number().over(w))
 

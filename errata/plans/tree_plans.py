@@ -149,3 +149,18 @@ WHERE n.node_type = 'literal' AND n.pl[1:len(a.apl)] = a.apl"""
 def q_where_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.where_literals(nodes(spark, sf_dir)).select(
         "example_id", path_text("path").alias("path"), "value", "value_type")
+
+
+# ---- C2 ------------------------------------------------------------------------
+
+def oracle_compact(d: W.Dialect) -> str:
+    """The trees that the complete ones were made from, by another route than
+    contraction: their node truth."""
+    return f"SELECT example_id, path, node_type, name, value, value_type FROM ({W.tree_node_sql(d)}) t"
+
+
+@query("compact_trees", oracle_compact)
+def q_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = workload(spark, sf_dir)
+    complete = spark.sql(W.complete_node_sql(w.d, "{nodes}"), nodes=w.tree_node())
+    return C.compact_trees(complete).select("example_id", path_text("path").alias("path"), "node_type", "name", "value", "value_type")

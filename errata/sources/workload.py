@@ -927,3 +927,83 @@ SELECT e.example_id, e.db_id, e.question, e.evidence,
        'SELECT o_orderpriority FROM orders WHERE o_custkey = ' || {key} AS predicted_sql
 FROM ({example_sql(d)}) e
 """
+
+
+# ---------------------------------------------------------------- complete trees
+
+def complete_node_sql(d: Dialect, nodes: str) -> str:
+    """complete_node(example_id, node_id, parent_id, arg_key, pos, node_type,
+    name, value, value_type, cast_to): the query trees (``nodes``, a relation like
+    tree_node's) as a full parser writes them: every child under its argument,
+    names as identifier nodes, and arguments that compact trees leave out, with
+    whole subtrees under them."""
+    parent = ("CASE WHEN n.depth = 0 THEN NULL WHEN n.depth = 1 THEN '' ELSE "
+              + ("substring_index(n.path, '.', n.depth - 1)" if d.spark else "array_to_string(string_split(n.path, '.')[1:n.depth - 1], '.')") + " END")
+    last = ("CAST(substring_index(n.path, '.', -1) AS BIGINT)" if d.spark else "CAST(string_split(n.path, '.')[-1] AS BIGINT)")
+    cols = "example_id, node_id, parent_id, arg_key, pos, node_type, name, value, value_type, cast_to"
+    none = "CAST(NULL AS STRING)"
+    return f"""
+WITH t AS (SELECT n.*, {parent} AS up, CASE WHEN n.depth = 0 THEN 0 ELSE {last} END AS place FROM {nodes} n),
+m AS (SELECT t.*, u.node_type AS over FROM t LEFT JOIN t u ON u.example_id = t.example_id AND u.path = t.up),
+kept AS (
+  SELECT example_id, 'n' || path AS node_id, 'n' || up AS parent_id, place AS pos, node_type, name, value, value_type, {none} AS cast_to,
+    CASE WHEN over IS NULL THEN {none}
+         WHEN over = 'select' THEN CASE node_type WHEN 'from' THEN 'from_' WHEN 'join' THEN 'joins' WHEN 'where' THEN 'where' WHEN 'group' THEN 'group'
+              WHEN 'order' THEN 'order' WHEN 'limit' THEN 'limit' WHEN 'distinct' THEN 'distinct' ELSE 'expressions' END
+         WHEN over IN ('group', 'order') THEN 'expressions'
+         WHEN over = 'join' AND place = 1 THEN 'on' WHEN over = 'in' AND place = 1 THEN 'query'
+         WHEN place = 1 THEN 'expression' ELSE 'this' END AS arg_key
+  FROM m)
+SELECT {cols} FROM kept
+UNION ALL SELECT example_id, node_id || 'i', node_id, 'this', 0, 'identifier', name, {none}, {none}, {none} FROM kept WHERE node_type IN ('column', 'table')
+UNION ALL SELECT example_id, node_id || 'ii', node_id || 'i', 'this', 0, 'column', 'inside', {none}, {none}, {none} FROM kept WHERE node_type = 'table'
+UNION ALL SELECT example_id, node_id || 'h', node_id, 'hint', 0, 'anonymous', {none}, {none}, {none}, {none} FROM kept WHERE node_type = 'select'
+UNION ALL SELECT example_id, node_id || 'hh', node_id || 'h', 'expressions', 0, 'column', 'hinted', {none}, {none}, {none} FROM kept WHERE node_type = 'select'
+UNION ALL SELECT example_id, node_id || 'd', node_id, 'expression', 0, 'literal', {none}, '1', 'number', {none} FROM kept WHERE node_type = 'literal'
+"""
+
+
+# ---------------------------------------------------------------- trees as lines
+
+def ast_lines_sql(d: Dialect) -> str:
+    """ast_lines(example_id, ast): each query's tree as numbered lines with
+    dotted paths; some examples have none."""
+    op = _op_node("q.op")
+    return f"""
+WITH l AS (
+  SELECT q.example_id, q.depth, q.pos, q.clause,
+    CASE q.clause WHEN 'select' THEN 0 WHEN 'from' THEN 1 WHEN 'join' THEN 2 WHEN 'where' THEN 3 WHEN 'group' THEN 4 WHEN 'order' THEN 5 WHEN 'limit' THEN 6 ELSE 7 END AS rnk,
+    CASE q.clause WHEN 'select' THEN 'select.' || CASE WHEN q.func IS NULL THEN 'column' ELSE q.func || '.column' END
+         WHEN 'from' THEN 'select.from.table' WHEN 'join' THEN 'select.join.eq' WHEN 'group' THEN 'select.group.column'
+         WHEN 'where' THEN CASE WHEN q.depth = 1 THEN 'select.where.in.select.where.' ELSE 'select.where.' END || {op}
+         WHEN 'order' THEN 'select.order.ordered' WHEN 'limit' THEN 'select.limit.literal' ELSE 'select.distinct' END AS path,
+    coalesce(q.col, q.tbl, q.val) AS value
+  FROM ({query_part_sql(d)}) q),
+n AS (SELECT example_id, path, value, ROW_NUMBER() OVER (PARTITION BY example_id ORDER BY depth, rnk, pos) AS i FROM l),
+t AS (SELECT example_id, 0 AS i, 'Node[0] | select | select' AS line FROM n WHERE i = 1
+      UNION ALL SELECT example_id, i, '  Node[' || CAST(i AS STRING) || '] | ' || path || ' | kind' || coalesce(' | ' || value, '') FROM n
+      UNION ALL SELECT example_id, 99, '(end of tree)' FROM n WHERE i = 1)
+SELECT example_id, CASE WHEN {d.u('example_id', "'noast'")} % 17 = 0 THEN NULL ELSE ast END AS ast
+FROM (SELECT example_id, {d.agg('line', 'i', chr(10))} AS ast FROM t GROUP BY example_id) x
+"""
+
+
+def analysis_sql(d: Dialect, names: list[str]) -> str:
+    """analysis(example_id, pos, error_type, located): localization results, the
+    located nodes given as a model writes them (missing, unknown, out of range)."""
+    u = d.u("s.id * 4 + s.i", "'loc'")
+    v = d.u("s.id * 4 + s.i", "'locv'")
+    node = lambda n: f"'Node[' || CAST({n} AS STRING) || ']'"
+    return f"""
+SELECT s.id AS example_id, s.i AS pos, {d.pick([*names, 'Other Error'], f'({u} % {len(names) + 1})')} AS error_type,
+       CASE {v} % 7 WHEN 0 THEN NULL WHEN 1 THEN {d.arr(node(99))} WHEN 2 THEN {d.arr("'the join'")}
+            WHEN 3 THEN {d.arr(node(f'{v} % 5') + " || ': wrong'", node(f'{u} % 9'))} ELSE {d.arr(node(f'{v} % 6'))} END AS located
+FROM (SELECT o.o_orderkey AS id, {d.explode_range(f"1 + {d.u('o.o_orderkey', chr(39) + 'nloc' + chr(39))} % 2")} AS i FROM {d.t('orders')} o) s
+"""
+
+
+def phrase_question_sql(d: Dialect) -> str:
+    """phrase_question(example_id, db_id, question): value questions that also
+    name tables, one of them in the singular for some."""
+    return f"""SELECT v.example_id, v.db_id, v.question || CASE WHEN v.example_id % 2 = 0 THEN ' among orders of a customer'
+       ELSE ' among customers by nation name' END AS question FROM ({value_question_sql(d)}) v"""

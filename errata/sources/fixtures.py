@@ -26,6 +26,7 @@ class Workload:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.d = W.Dialect("spark", self.sf_dir)
+        self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -33,6 +34,12 @@ class Workload:
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(text, **frames) if frames else self.spark.sql(text)
 
+    def once(self, name: str, build) -> DataFrame:
+        """The written table ``name``, made by ``build`` when first asked for."""
+        if name not in self._made:
+            self._made[name] = materialize(build(), name)
+        return self._made[name]
+
     # examples and evaluation -------------------------------------------
     @cached_property
     def _example(self) -> DataFrame:

@@ -48,26 +48,104 @@ def load_predictions(spark: SparkSession, path: str, bench: str = "bird", whole_
         "db_id", "predicted_sql", "parse_ok")
 
 
-def load_gold_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A2: ``sql<TAB>db`` per line, id = line number (0-based, across the
-    files in name order); the database is after the last tab, a line without
-    tab has an empty database.  A line's number is its place in its file split
-    plus the lines of the splits before it (a table of one row per split)."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line): the lines of text files in name order, numbered from 0
+    over all of them.  A line's number is its place in its file split plus the
+    lines of the splits before it (a table of one row per split)."""
     raw = spark.read.text(path).select(
         F.col("value").alias("line"), F.input_file_name().alias("_file"), F.input_file_block_start().alias("_at"),
         F.monotonically_increasing_id().alias("_row"))
     splits = raw.groupBy("_file", "_at").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
     earlier = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_at", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    lines = raw.join(splits, ["_file", "_at"]).withColumn("example_id", F.col("_before") + F.col("_row") - F.col("_first"))
+    return raw.join(splits, ["_file", "_at"]).select(
+        (F.col("_before") + F.col("_row") - F.col("_first")).cast("bigint").alias("line_no"), "line")
+
+
+def load_gold_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A2: ``sql<TAB>db`` per line, id = line number (0-based, across the
+    files in name order); the database is after the last tab, a line without
+    tab has an empty database."""
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
     has_tab = line.contains("\t")
-    return lines.select(
-        F.col("example_id").cast("bigint").alias("example_id"),
+    return numbered_lines(spark, path).select(
+        F.col("line_no").alias("example_id"),
         F.when(has_tab, F.regexp_extract(line, r"^(.*)\t[^\t]*$", 1)).otherwise(line).alias("gold_sql"),
         F.when(has_tab, F.regexp_extract(line, r"\t([^\t]*)$", 1)).otherwise(F.lit("")).alias("db_id"))
 
 
+def load_linking(spark: SparkSession, examples_path: str, linking_path: str) -> DataFrame:
+    """Linking results aligned to examples by position.
+
+    Both files hold one JSON value per line: an example (``question_id``,
+    ``db_id``), and a map of table names to lists of columns or null.  Lines are
+    numbered on both sides and paired by an outer join, so that a length
+    mismatch only leaves lines unpaired: the missing side's columns are null,
+    and ``mismatch`` says in every row by how many lines the files differ.
+    Returns (line_no, example_id, db_id, status, mismatch, table_name, columns),
+    a row per table of a linking, one without table for the other lines."""
+    own = numbered_lines(spark, examples_path).select("line_no", F.from_json("line", "question_id bigint, db_id string").alias("e"), F.lit(True).alias("left"))
+    other = numbered_lines(spark, linking_path).select("line_no", F.from_json("line", "map<string,array<string>>").alias("links"), F.lit(True).alias("right"))
+    paired = own.join(other, "line_no", "full")
+    status = F.when(F.col("left").isNull(), "no_example").when(F.col("right").isNull(), "no_linking").otherwise("paired")
+    rows = paired.select("line_no", F.col("e.question_id").alias("example_id"), F.col("e.db_id").alias("db_id"), status.alias("status"),
+                         F.explode_outer("links").alias("table_name", "columns"))
+    return spark.sql("SELECT r.*, (SELECT abs(count(left) - count(right)) FROM {paired}) AS mismatch FROM {rows} r", paired=paired, rows=rows)
+
+
+def load_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A4: catalog metadata, one JSON object per line and database, into
+    catalog_table(db_id, table_idx, table_name, label), catalog_column(db_id,
+    column_idx, table_idx, column_name, label, type), catalog_pk(db_id, column_idx)
+    and catalog_fk(db_id, from_idx, to_idx).
+
+    The arrays mix numbers, texts and lists (``[0, "name"]``, keys ``1`` and ``[2, 3]``),
+    so each object is kept as a VARIANT and its parallel arrays are exploded with
+    their positions; no schema is inferred.  A line that is no JSON is no database."""
+    raw = spark.read.text(path).select(F.expr("try_parse_json(value)").alias("v")).where("v IS NOT NULL")
+    dbs = raw.selectExpr("variant_get(v, '$.db_id', 'string') AS db_id", "v")
+
+    def items(array: str) -> DataFrame:
+        return spark.sql(f"SELECT d.db_id, x.pos, x.value FROM {{dbs}} d, LATERAL variant_explode(variant_get(d.v, '$.{array}', 'variant')) x", dbs=dbs)
+
+    tables = items("table_names_original").selectExpr("db_id", "CAST(pos AS bigint) AS table_idx", "CAST(value AS string) AS table_name").join(
+        items("table_names").selectExpr("db_id", "CAST(pos AS bigint) AS table_idx", "CAST(value AS string) AS label"), ["db_id", "table_idx"], "left")
+    columns = items("column_names_original").selectExpr(
+        "db_id", "CAST(pos AS bigint) AS column_idx", "variant_get(value, '$[0]', 'bigint') AS table_idx", "variant_get(value, '$[1]', 'string') AS column_name")
+    for array, value, name in (("column_names", "variant_get(value, '$[1]', 'string')", "label"), ("column_types", "CAST(value AS string)", "type")):
+        columns = columns.join(items(array).selectExpr("db_id", "CAST(pos AS bigint) AS column_idx", f"{value} AS {name}"), ["db_id", "column_idx"], "left")
+    keys = items("primary_keys").selectExpr("db_id", """explode(CASE WHEN startswith(schema_of_variant(value), 'ARRAY')
+        THEN CAST(value AS array<bigint>) ELSE array(CAST(value AS bigint)) END) AS column_idx""")
+    links = items("foreign_keys").selectExpr("db_id", "variant_get(value, '$[0]', 'bigint') AS from_idx", "variant_get(value, '$[1]', 'bigint') AS to_idx")
+    return {"table": tables, "column": columns, "pk": keys, "fk": links}
+
+
+DOC_COLUMNS = 16
+
+
+def load_column_docs(spark: SparkSession, path: str, names: str = r"([^/]+)/([^/]+)\.csv$") -> DataFrame:
+    """A5: column descriptions from many small CSV files, each with a header of
+    its own order, into column_doc(db_id, table_name, column_name, description).
+
+    The database and the table are the groups of ``names`` in a file's path.  All
+    files are read at once by position; a file's first row, without its byte
+    order mark, names the cells of its other rows (one narrow join by file).
+    Names are lower-cased, texts trimmed, rows without a column dropped, and of
+    a column's rows the last counts.  Missing files give no rows."""
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(DOC_COLUMNS)])
+    raw = spark.read.schema(schema).option("multiLine", "true").option("escape", '"').csv(path).select(
+        F.array(*schema.names).alias("cells"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    first = raw.groupBy("file").agg(F.min("row").alias("row"))
+    heads = raw.join(first, ["file", "row"]).select("file", F.col("row").alias("head"), F.transform(
+        "cells", lambda c: F.trim(F.replace(c, F.lit("\ufeff"), F.lit("")))).alias("names"))
+    cell = lambda name: F.trim(F.get("cells", (F.array_position("names", name) - 1).cast("int")))
+    rows = raw.join(heads, "file").where("row > head").select(
+        "file", "row", F.lower(cell("original_column_name")).alias("column_name"), F.coalesce(cell("column_description"), F.lit("")).alias("description"))
+    named = rows.where("column_name <> ''").select(
+        F.regexp_extract("file", names, 1).alias("db_id"), F.lower(F.regexp_extract("file", names, 2)).alias("table_name"), "column_name", "row", "description")
+    return named.groupBy("db_id", "table_name", "column_name").agg(F.max_by("description", "row").alias("description"))
+
+
 EXAMPLE_SCHEMA = T.StructType([
     T.StructField("question_id", T.LongType()),
     T.StructField("db_id", T.StringType()),

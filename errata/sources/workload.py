@@ -1007,3 +1007,37 @@ def phrase_question_sql(d: Dialect) -> str:
     name tables, one of them in the singular for some."""
     return f"""SELECT v.example_id, v.db_id, v.question || CASE WHEN v.example_id % 2 = 0 THEN ' among orders of a customer'
        ELSE ' among customers by nation name' END AS question FROM ({value_question_sql(d)}) v"""
+
+
+# ---------------------------------------------------------------- files
+
+def catalog_json_sql(d: Dialect, ct: str, cc: str, pk: str, fk: str) -> str:
+    """catalog_json(value): one JSON object per database, made from the catalog
+    relations ``ct``, ``cc``, ``pk`` and ``fk``; keys of two columns are lists."""
+    q = d.json_str
+    return f"""
+WITH t AS (SELECT db_id, {d.agg(q('table_name'), 'table_idx', ',')} AS orig, {d.agg(q("upper(table_name)"), 'table_idx', ',')} AS lab FROM {ct} GROUP BY db_id),
+c AS (SELECT db_id, {d.agg("'[' || CAST(table_idx AS STRING) || ',' || " + q('column_name') + " || ']'", 'column_idx', ',')} AS orig,
+             {d.agg("'[' || CAST(table_idx AS STRING) || ',' || " + q('label') + " || ']'", 'column_idx', ',')} AS lab,
+             {d.agg(q('type'), 'column_idx', ',')} AS types FROM {cc} GROUP BY db_id),
+k1 AS (SELECT p.db_id, x.table_idx, COUNT(*) AS n, {d.agg('CAST(p.column_idx AS STRING)', 'p.column_idx', ',')} AS ks
+       FROM {pk} p JOIN {cc} x ON x.db_id = p.db_id AND x.column_idx = p.column_idx GROUP BY p.db_id, x.table_idx),
+k AS (SELECT db_id, {d.agg("CASE WHEN n = 1 THEN ks ELSE '[' || ks || ']' END", 'table_idx', ',')} AS ks FROM k1 GROUP BY db_id),
+f AS (SELECT db_id, {d.agg("'[' || CAST(from_idx AS STRING) || ',' || CAST(to_idx AS STRING) || ']'", 'from_idx', ',')} AS fs FROM {fk} GROUP BY db_id)
+SELECT chr(123) || '"db_id":' || {q('t.db_id')} || ',"table_names_original":[' || t.orig || '],"table_names":[' || t.lab || '],"column_names_original":[' || c.orig
+       || '],"column_names":[' || c.lab || '],"column_types":[' || c.types || '],"primary_keys":[' || coalesce(k.ks, '') || '],"foreign_keys":['
+       || coalesce(f.fs, '') || ']' || chr(125) AS value
+FROM t JOIN c ON c.db_id = t.db_id LEFT JOIN k ON k.db_id = t.db_id LEFT JOIN f ON f.db_id = t.db_id
+"""
+
+
+def doc_group_sql(d: Dialect, base: str) -> str:
+    """doc_row(db, tbl, column_name, description, again): descriptions of every
+    test column (``base``: table_name, ordinal, column_name) for each hundred
+    customers; some columns are described twice."""
+    u = d.u("g.db || c.column_name", "'docrow'")
+    return f"""
+SELECT g.db, c.table_name AS tbl, c.ordinal, CASE WHEN {u} % 3 = 0 THEN upper(c.column_name) ELSE c.column_name END AS column_name,
+       CASE WHEN {u} % 5 = 0 THEN '' ELSE 'the ' || c.column_name || ', of ' || g.db END AS description, {u} % 4 = 0 AS again
+FROM (SELECT DISTINCT 'g' || CAST(CAST(floor(c_custkey / 100) AS BIGINT) AS STRING) AS db FROM {d.t('customer')}) g, {base} c
+"""

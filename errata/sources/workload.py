@@ -1041,3 +1041,25 @@ SELECT g.db, c.table_name AS tbl, c.ordinal, CASE WHEN {u} % 3 = 0 THEN upper(c.
        CASE WHEN {u} % 5 = 0 THEN '' ELSE 'the ' || c.column_name || ', of ' || g.db END AS description, {u} % 4 = 0 AS again
 FROM (SELECT DISTINCT 'g' || CAST(CAST(floor(c_custkey / 100) AS BIGINT) AS STRING) AS db FROM {d.t('customer')}) g, {base} c
 """
+
+
+# ---------------------------------------------------------------- entities
+
+def graph_example_sql(d: Dialect) -> str:
+    """graph_example(example_id, db_id, question): the examples, some of which
+    name a database that no catalog has."""
+    return f"""SELECT example_id, CASE WHEN example_id % 37 = 0 THEN 'nowhere' ELSE db_id END AS db_id, question FROM ({example_sql(d)}) e"""
+
+
+def entity_match_sql(d: Dialect) -> str:
+    """entity_match(example_id, db_id, char_start, char_end, kind, idx): one to
+    four matches of question spans to schema items; spans and targets repeat,
+    and some indices lie beyond the database."""
+    u = lambda salt: d.u("s.example_id * 8 + s.i", f"'{salt}'")
+    n = d.u("e.example_id", "'nmatch'")
+    return f"""
+SELECT s.example_id, s.db_id, CAST({u('ms')} % 3 * 7 AS INT) AS char_start, CAST({u('ms')} % 3 * 7 + 5 + {u('me')} % 2 AS INT) AS char_end,
+       CASE WHEN {u('mk')} % 3 = 0 THEN 'table' ELSE 'column' END AS kind,
+       CASE WHEN {u('mk')} % 3 = 0 THEN {u('mi')} % 14 ELSE 1 + {u('mi')} % 30 END AS idx
+FROM (SELECT e.example_id, e.db_id, {d.explode_range(f'1 + {n} % 4')} AS i FROM ({graph_example_sql(d)}) e) s
+"""

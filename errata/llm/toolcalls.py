@@ -33,8 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from errata.functions.scan import running_totals
+from errata.llm import textops as T
 from errata.session import materialize
 
+#: Digits of the longest whole number that is read.
+MAX_DIGITS = 4000
 # JSON types and the Python types that stand for them.
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -53,7 +56,7 @@ def schema_errors(value, schema: dict, path: str = "$") -> list[str]:
     if kinds and not any(_is_type(value, k) for k in kinds):
         return [f"{path}: not {' or '.join(kinds)}"]
     errors = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):  # as JSON: true is not 1
         errors.append(f"{path}: not in enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value):
@@ -91,27 +94,85 @@ def canonical(value) -> str:
     return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+class Unusable(ValueError):
+    """Arguments or a schema that cannot be judged; the text says why."""
+
+
 def _reject(name: str):
     raise ValueError(name)
 
 
+def _fraction(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise Unusable("number out of range")
+    return value
+
+
+def _whole(text: str) -> int:
+    if len(text) > MAX_DIGITS:
+        raise Unusable("number out of range")
+    return int(text)
+
+
+def parse_arguments(text: str | None):
+    """The value of a JSON text that canonical JSON can hold."""
+    try:
+        value = json.loads(text or "", parse_constant=_reject, parse_float=_fraction, parse_int=_whole)
+        canonical([[[[value]]]]).encode()  # with room for the levels around it
+    except Unusable:
+        raise
+    except RecursionError:
+        raise Unusable("nested too deeply") from None
+    except UnicodeEncodeError:
+        raise Unusable("lone surrogate") from None
+    except ValueError:
+        raise Unusable("not JSON") from None
+    return value
+
+
+def parse_schema(text: str) -> dict:
+    try:
+        schema = json.loads(text)
+    except (ValueError, RecursionError):
+        raise Unusable("schema is not JSON") from None
+    if not isinstance(schema, dict):
+        raise Unusable("schema is not an object")
+    return schema
+
+
+def judge(arguments: str | None, schema: str | None, parsed: dict[str, dict]) -> tuple[object, list[str]]:
+    """The arguments' value (None if unusable) and what is wrong with them."""
+    value, errors = None, []
+    try:
+        value = parse_arguments(arguments)
+    except Unusable as e:
+        errors = [str(e)]
+    if schema is None:
+        return value, [*errors, "unknown tool"]
+    if errors:
+        return value, errors
+    try:
+        if schema not in parsed:
+            parsed[schema] = parse_schema(schema)
+        return value, schema_errors(value, parsed[schema])
+    except Unusable as e:
+        return value, [str(e)]
+    except (TypeError, AttributeError, KeyError):
+        return value, ["schema is malformed"]
+    except RecursionError:
+        return value, ["schema is nested too deeply"]
+
+
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parsed: dict[str, dict] = {}
     for b in batches:
         out = []
         for r in b.to_pylist():
-            value, errors = None, []
-            try:
-                value = json.loads(r["arguments"] or "", parse_constant=_reject)
-            except ValueError:
-                errors = ["not JSON"]
-            if r["schema"] is None:
-                errors.append("unknown tool")
-            elif not errors:
-                if r["schema"] not in parsed:
-                    parsed[r["schema"]] = json.loads(r["schema"])
-                errors = schema_errors(value, parsed[r["schema"]])
+            value, errors = judge(r["arguments"], r["schema"], parsed)
             whole = {"arguments": value, "id": r["call_id"], "name": r["name"], "result": r["content"]}
+            # a schema's own texts may hold what UTF-8 cannot
+            errors = [e.encode("utf-8", "replace").decode() for e in errors]
             out.append((r["row_key"], not errors, errors, canonical(whole)))
         keys, valid, errors, text = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())),
@@ -167,7 +228,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         "conv_id", "call_id", "turn", "row_key", "name", "arguments", "content", "schema", F.coalesce("level", F.lit(0)).alias("level"),
         F.expr("CASE WHEN cyclic THEN 'cycle' WHEN answered THEN 'linked' ELSE 'unanswered' END").alias("status"))
     linked = materialize(linked, "calls-linked")
-    checked = linked.select("row_key", "call_id", "name", "arguments", "content", "schema").mapInArrow(
+    checked = T.bounded(linked).select("row_key", "call_id", "name", "arguments", "content", "schema").mapInArrow(
         _check, "row_key long, valid boolean, errors array<string>, json string")
     order = ["conv_id", "level", "turn", "call_id"]
     placed = running_totals(linked.select("row_key", "status", *order), order, {"place": "1"}, ["conv_id"])

@@ -32,6 +32,26 @@ def test_links_order_errors_and_json(spark):
     assert rest == [(1, "a", 3, "duplicate"), (1, "c", 4, "duplicate"), (1, "q", 3, "orphan"), (2, "None", 9, "unnamed"), (3, "None", 1, "unnamed")]
 
 
+def test_legal_and_careless_texts_give_errors(spark):
+    texts = ['{"limit":1e999}', "[" * 100_000, '{"query":"\\ud800"}', '{"limit":' + "9" * 5000 + "}", '{"text":"x","lang":true}', "{}"]
+    names = ["search", "search", "search", "search", "flags", "broken"]
+    calls = spark.createDataFrame([(1, f"c{k}", k, n, t, []) for k, (n, t) in enumerate(zip(names, texts))],
+                                  "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    extra = [("flags", '{"properties":{"lang":{"enum":[1]}}}'), ("broken", "{nope")]
+    schemas = spark.createDataFrame([*TOOL_SCHEMAS, *extra], "name string, schema string")
+    rows = {r.turn: r for r in link_tool_calls(calls, frames(spark)[1].where("false"), schemas).collect()}
+    assert [rows[k].errors for k in range(6)] == [["number out of range"], ["nested too deeply"], ["lone surrogate"], ["number out of range"],
+                                                  ["$.lang: not in enum"], ["schema is not JSON"]]
+    assert not any(r.valid for r in rows.values()) and all("Infinity" not in r.json for r in rows.values())
+
+
+def test_malformed_schemas():
+    from errata.llm.toolcalls import judge
+
+    assert judge("1", "[]", {}) == (1, ["schema is not an object"]) and judge("1", '{"minimum":"x"}', {}) == (1, ["schema is malformed"])
+    assert judge("{}", '{"required":5}', {}) == ({}, ["schema is malformed"]) and judge(None, None, {}) == (None, ["not JSON", "unknown tool"])
+
+
 def test_empty_tables(spark):
     calls, results, schemas = frames(spark)
     assert link_tool_calls(calls.where("false"), results.where("false"), schemas).count() == 0

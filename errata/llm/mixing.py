@@ -93,6 +93,32 @@ def _rng(*parts) -> np.random.Generator:
     return np.random.default_rng(np.frombuffer(raw.ljust(-(-len(raw) // 4) * 4), np.uint32))
 
 
+URN_LIMIT = 10**9  # numpy draws from smaller urns only
+
+
+def draw_from_urn(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """How many of ``take`` balls, drawn without replacement, are of each kind.
+
+    From an urn of ``URN_LIMIT`` balls or more, each ball is first taken by a coin
+    of odds take / all, a binomial per kind: given their number, the balls taken
+    are a uniform subset.  Balls drawn uniformly from those taken then go back, or
+    from the others come in, until there are ``take``; their number grows with
+    the root of the urn."""
+    total = int(counts.sum())
+    if total < URN_LIMIT:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    taken = rng.binomial(counts, take / total)
+    over = int(taken.sum()) - take
+    pool = np.cumsum(taken if over > 0 else counts - taken)
+    chosen = np.zeros(0, np.int64)
+    while len(chosen) < abs(over):  # distinct balls, drawn again where they repeat
+        more = rng.integers(0, pool[-1], abs(over) - len(chosen))
+        _, first = np.unique(np.concatenate([chosen, more]), return_index=True)
+        chosen = np.concatenate([chosen, more])[np.sort(first)]
+    moved = np.bincount(np.searchsorted(pool, chosen, "right"), minlength=len(counts))
+    return taken - moved if over > 0 else taken + moved
+
+
 def split_quotas(mix: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source, shard, lo, hi): the range of a source's draws that a shard takes.
 
@@ -106,7 +132,7 @@ def split_quotas(mix: DataFrame, shards: int, seed: int) -> DataFrame:
             return rows
         mid = (lo + hi) // 2
         left_total = int(quota.sum()) * (mid - lo) // (hi - lo)
-        left = _rng(seed, "node", lo, hi).multivariate_hypergeometric(quota, left_total, method="marginals")
+        left = draw_from_urn(_rng(seed, "node", lo, hi), quota, left_total)
         halves = [rows.assign(node_lo=lo, node_hi=mid, quota=left, first=rows["first"]),
                   rows.assign(node_lo=mid, node_hi=hi, quota=quota - left, first=rows["first"].to_numpy() + left)]
         return pd.concat(halves)

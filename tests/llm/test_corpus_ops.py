@@ -295,3 +295,30 @@ def test_empty_tables(spark, odd):
     none = odd.where("false")
     assert packing.pack(none).count() == sketches.fingerprints(none).count() == 0
     assert mixing.taken(*mixing.mix_sources(none)).count() == recount.count_trees(none).count() == 0
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 1, "x", 0, "r"), (2, "a b c d e f g", 2, "y", 0, "r"), (3, None, 3, "z", 0, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, _row_key string, key int, row string")
+    got = jaccard.drop_near_copies(docs)
+    assert got.columns == docs.columns and sorted(r._row_key for r in got.collect()) in (["x", "z"], ["y", "z"])
+
+
+@pytest.mark.parametrize("counts", [[10**10, 3 * 10**10, 0, 7], [5 * 10**11, 1, 10**12], [4 * 10**8, 7 * 10**8]])
+def test_urns_of_any_size_are_split(counts):
+    counts = np.array(counts, np.int64)
+    total = int(counts.sum())
+    for take in (0, 1, total // 2, total // 3, total - 1, total):
+        left = mixing.draw_from_urn(np.random.default_rng(take % 97), counts, take)
+        assert int(left.sum()) == take and (left >= 0).all() and (left <= counts).all()
+        spread = np.sqrt(counts * (take / total) * (1 - take / total) + 1)
+        assert (np.abs(left - counts * (take / total)) <= 7 * spread).all()
+
+
+def test_large_urns_follow_the_law(monkeypatch):
+    monkeypatch.setattr(mixing, "URN_LIMIT", 10)
+    rng, counts = np.random.default_rng(1), np.array([6, 4, 10])
+    draws = np.array([mixing.draw_from_urn(rng, counts, 7) for _ in range(20_000)])
+    assert np.allclose(draws.mean(axis=0), 7 * counts / 20, atol=0.03)
+    want = 7 * (counts / 20) * (1 - counts / 20) * 13 / 19  # of the hypergeometric law
+    assert np.allclose(draws.var(axis=0), want, atol=0.04)

@@ -1,4 +1,4 @@
-"""Prompt and completion tables (I2, I5-I7, I12, I14): text in, text out;
+"""Prompt and completion tables (I2, I4-I7, I12-I14): text in, text out;
 the model call itself is outside."""
 
 from __future__ import annotations
@@ -115,3 +115,43 @@ def flagged_samples(df: DataFrame, output_col: str, order_col: str, limit: int |
     in input order."""
     f = df.where(F.regexp_replace(output_col, r"^\s+|\s+$", "") != "<no_error>")
     return f.orderBy(order_col).limit(limit) if limit else f
+
+
+LOCALIZATION_SCHEMA = ("struct<analyses:array<struct<error_type:string,located_nodes:array<string>,involved_elements:array<string>,"
+                       "filled_guideline:map<string,string>>>>")
+
+
+def parse_localizations(completions: DataFrame, errors: DataFrame) -> DataFrame:
+    """I4: a localization completion's analyses, in order.
+
+    ``completions``: (example_id, text); ``errors``: (example_id, pos, error_type).
+    Absent fields are empty.  A text that is no JSON object gives one placeholder
+    per error of its example instead.  Returns (example_id, pos, error_type,
+    located, elements, guideline)."""
+    none, blank = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    read = completions.select("example_id", F.from_json("text", LOCALIZATION_SCHEMA).alias("j"),
+                              F.coalesce(F.expr("schema_of_variant(try_parse_json(text))").startswith("OBJECT"), F.lit(False)).alias("ok"))
+    found = read.where("ok").select("example_id", F.posexplode("j.analyses").alias("pos", "a")).select(
+        "example_id", "pos", F.coalesce("a.error_type", F.lit("")).alias("error_type"), F.coalesce("a.located_nodes", none).alias("located"),
+        F.coalesce("a.involved_elements", none).alias("elements"), F.coalesce("a.filled_guideline", blank).alias("guideline"))
+    failed = errors.join(read.where("NOT ok").select("example_id"), "example_id", "left_semi").select(
+        "example_id", F.col("pos").cast("int").alias("pos"), "error_type", none.alias("located"), none.alias("elements"),
+        F.create_map(F.lit("error"), F.lit("Failed to parse LLM response")).alias("guideline"))
+    return found.unionByName(failed)
+
+
+def refinement_results(samples: DataFrame, completions: DataFrame) -> DataFrame:
+    """The outcome of each sample's repair.
+
+    ``samples``: (example_id, sql, output), the detector's output; ``completions``:
+    (example_id, text, error), at most one per example.  Without errors to
+    repair the query passes as it is; a call that failed, or none, keeps it with
+    the error's text; else the completion's query stands.  Returns (example_id,
+    original_sql, refined_sql, success, error_message, detected_errors)."""
+    told = extract_sql(completions.select("example_id", "text", "error"), "text").select("example_id", "text", "error", F.col("sql").alias("made"))
+    judged = parse_error_tokens(samples.select("example_id", "sql", "output"), "output").join(told, "example_id", "left")
+    passes = F.size("tokens") == 0
+    failed = ~passes & F.col("text").isNull()
+    return judged.select("example_id", F.col("sql").alias("original_sql"), F.when(passes | failed, F.col("sql")).otherwise(F.col("made")).alias("refined_sql"),
+                         (~failed).alias("success"), F.when(failed, F.coalesce("error", F.lit("no completion"))).alias("error_message"),
+                         F.col("output").alias("detected_errors"))

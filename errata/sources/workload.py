@@ -1063,3 +1063,42 @@ SELECT s.example_id, s.db_id, CAST({u('ms')} % 3 * 7 AS INT) AS char_start, CAST
        CASE WHEN {u('mk')} % 3 = 0 THEN {u('mi')} % 14 ELSE 1 + {u('mi')} % 30 END AS idx
 FROM (SELECT e.example_id, e.db_id, {d.explode_range(f'1 + {n} % 4')} AS i FROM ({graph_example_sql(d)}) e) s
 """
+
+
+# ---------------------------------------------------------------- localization
+
+def graph_text_sql(d: Dialect) -> str:
+    """graph_text(example_id, nodes_text, edges_text): the columns of each query
+    as node lines, its joins as key edges, its select list as question edges."""
+    return f"""
+WITH q AS (SELECT example_id, clause, pos, tbl, col, val FROM ({query_part_sql(d)}) x WHERE depth = 0 AND clause IN ('select', 'join', 'where', 'order')),
+n AS (SELECT example_id, clause, pos, CASE WHEN pos % 2 = 0 THEN '  ' ELSE '' END || tbl || '.' || upper(col) || ' (column)' AS line FROM q WHERE col IS NOT NULL),
+e AS (SELECT example_id, clause, pos, CASE clause WHEN 'join' THEN ' Orders.' || col || ' foreign_key_to ' || tbl || '.' || val
+        ELSE 'q_ent_' || CAST(pos + 1 AS STRING) || ' relates_to_column ' || tbl || '.' || col END AS line FROM q WHERE clause <> 'where')
+SELECT n.example_id, n.nodes_text, e.edges_text FROM
+  (SELECT example_id, {d.agg('line', 'clause, pos', chr(10))} AS nodes_text FROM n GROUP BY example_id) n
+  JOIN (SELECT example_id, {d.agg('line', 'clause, pos', ';')} AS edges_text FROM e GROUP BY example_id) e ON e.example_id = n.example_id
+"""
+
+
+def element_sql(d: Dialect, names: list[str]) -> str:
+    """analysis with ``elements``: tables and columns as a model writes them, or none."""
+    v = d.u("a.example_id * 4 + a.pos", "'elem'")
+    return f"""
+SELECT a.example_id, a.pos, a.error_type, CASE {v} % 6 WHEN 0 THEN NULL WHEN 1 THEN {d.arr("'Orders.o_custkey'")} WHEN 2 THEN {d.arr("'Customer'")}
+       WHEN 3 THEN {d.arr("'nation.n_name'", "'orders'", "'ORDERS'")} WHEN 4 THEN {d.arr("'orders.o_totalprice'", "'customer.c_name'")} ELSE {d.arr("'orders'")} END AS elements
+FROM ({analysis_sql(d, names)}) a
+"""
+
+
+def localization_sql(d: Dialect) -> str:
+    """localization(example_id, text): two analyses, one with fields missing, none,
+    an array in place of an object, or no JSON."""
+    u = d.u("o.o_orderkey", "'lcz'")
+    one = "'{\"error_type\":\"Value Mismatch\",\"located_nodes\":[\"Node[1]\",\"Node[' || CAST(o.o_orderkey AS STRING) || ']\"],\"involved_elements\":[\"orders\"],\"filled_guideline\":{\"fix\":\"it\"}}'"
+    two = "'{\"error_type\":\"Clause Error\"}'"
+    return f"""
+SELECT o.o_orderkey AS example_id, CASE {u} % 5 WHEN 0 THEN '{{"analyses":[' || {one} || ',' || {two} || ']}}' WHEN 1 THEN '{{"analyses":[' || {two} || ']}}'
+       WHEN 2 THEN '{{"other":1}}' WHEN 3 THEN '[' || {one} || ']' ELSE 'Sorry, {{' END AS text
+FROM {d.t('orders')} o
+"""

@@ -156,9 +156,14 @@ EXAMPLE_SCHEMA = T.StructType([
 ])
 
 
-def load_examples(spark: SparkSession, path: str) -> DataFrame:
-    """A3: JSON array of examples with an explicit schema (never inferred)."""
-    df = spark.read.schema(EXAMPLE_SCHEMA).option("multiLine", "true").json(path)
+def load_examples(spark: SparkSession, path: str, array_lines: bool = False) -> DataFrame:
+    """A3: JSON arrays of examples with an explicit schema (never inferred): one
+    array per file, or, with ``array_lines``, one per line, which Spark reads in
+    parallel within a file."""
+    if array_lines:
+        df = spark.read.text(path).select(F.inline(F.from_json("value", T.ArrayType(EXAMPLE_SCHEMA))))
+    else:
+        df = spark.read.schema(EXAMPLE_SCHEMA).option("multiLine", "true").json(path)
     return df.select(
         F.col("question_id").alias("example_id"), "db_id", "question",
         F.coalesce("evidence", F.lit("")).alias("evidence"),

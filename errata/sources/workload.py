@@ -156,10 +156,10 @@ WORKLOAD_TEMPLATES = [
      "JOIN {orders} o ON o.o_custkey = p.example_id "
      "WHERE o.o_orderpriority = '1-URGENT'"),
     ("pred_dup", "pred", 2,
-     "SELECT p.example_id, CAST(o.o_orderkey AS STRING) || '.0' AS k, o.o_orderpriority FROM {params} p "
+     "SELECT p.example_id, CAST(o.o_orderkey AS DECIMAL(20, 1)) AS k, o.o_orderpriority FROM {params} p "
      "JOIN {orders} o ON o.o_custkey = p.example_id "
      "WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH') "
-     "UNION ALL SELECT p.example_id, CAST(o.o_orderkey AS STRING), o.o_orderpriority FROM {params} p "
+     "UNION ALL SELECT p.example_id, o.o_orderkey, o.o_orderpriority FROM {params} p "
      "JOIN {orders} o ON o.o_custkey = p.example_id "
      "WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     ("pred_typo", "pred", 3,

@@ -72,3 +72,16 @@ def test_numbers_of_all_types_and_failures_while_running(spark):
     assert {r.example_id: r.res for r in evaluate.execution_accuracy(failing, params).collect()} == {1: 0, 2: 0}
     assert failing.where("side = 'gold' AND ok").count() == 2
     assert "CAST_INVALID_INPUT" in failing.where("NOT ok").first().error
+
+
+def test_texts_that_look_like_numbers_are_no_numbers(spark):
+    params = spark.createDataFrame([(k,) for k in range(1, 7)], "example_id long")
+    t = lambda i, side, sql: evaluate.Template(i, side, None, sql)
+    cells = {"pred": ["1", "1.0D", "1", "'1'", "\"'1\"", "'x'"], "gold": ["1.0D", "CAST(1 AS DECIMAL(5,2))", "'1'", "'1.0'", "'1'", "'x'"]}
+    # one example's cell at a time, so that each keeps its own type
+    res = None
+    for side, values in cells.items():
+        for k, v in enumerate(values, 1):
+            r = evaluate.run_workload(spark, [t(f"{side}{k}", side, f"SELECT example_id, {v} FROM {{params}} WHERE example_id = {k}")], params, {})
+            res = r if res is None else res.unionByName(r)
+    assert {r.example_id: r.res for r in evaluate.execution_accuracy(res, params).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1}

@@ -1,4 +1,4 @@
-"""Registered queries for training-data operators."""
+"""Registered queries for training-data operators."""
 
 from __future__ import annotations
 
@@ -80,3 +80,48 @@ def q_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = workload(spark, sf_dir).table("embeddings")
     r = J.group_centroids(emb, "label", "embedding")
     return r.select("label", F.col("pos").cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
+# ---- J1 / J2 -------------------------------------------------------------------
+
+DETECTOR_COLS = ["example_id", "db_id", "question", "external_knowledge", "predicted_sql", "ast", "nodes_text", "edges_text", "execution", "rule_based"]
+
+
+def _detector_sql(d: W.Dialect) -> str:
+    """CTEs up to ``di``, the detector's inputs; outcomes by their derivation."""
+    v = d.u("e.example_id", "'predrun'") + " % 4"
+    return f"""e AS ({W.detector_example_sql(d)}), a AS ({W.ast_lines_sql(d)}), g AS ({W.graph_text_sql(d)}), f0 AS ({W.finding_sql(d)}),
+f AS (SELECT example_id, string_agg(error_label || ': ' || message, chr(10) ORDER BY seq) AS rb FROM f0 GROUP BY example_id),
+l AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (WHERE l_linenumber > 1) AS n1 FROM lineitem GROUP BY l_orderkey),
+di AS (SELECT e.example_id, e.db_id, e.question, coalesce(e.evidence, '') AS external_knowledge, e.predicted_sql, coalesce(a.ast, '') AS ast,
+        coalesce(g.nodes_text, '') AS nodes_text, coalesce(g.edges_text, '') AS edges_text,
+        CASE {v} WHEN 3 THEN 'error: failed' WHEN 0 THEN 'rows: ' || coalesce(l.n, 0) WHEN 1 THEN 'rows: ' || coalesce(l.n1, 0) ELSE 'rows: ' || coalesce(2 * l.n, 0) END AS execution,
+        coalesce(f.rb, 'none') AS rule_based
+      FROM e LEFT JOIN a ON a.example_id = e.example_id LEFT JOIN g ON g.example_id = e.example_id LEFT JOIN f ON f.example_id = e.example_id LEFT JOIN l ON l.id = e.example_id)"""
+
+
+def detector_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = workload(spark, sf_dir).d
+    ran = spark.sql(W.prediction_row_sql(d)).where("side = 'pred'").selectExpr("example_id", "ok", "CAST(NULL AS string) AS error", "row")
+    return J.detector_input(spark.sql(W.detector_example_sql(d)), spark.sql(W.ast_lines_sql(d)), spark.sql(W.graph_text_sql(d)), ran, spark.sql(W.finding_sql(d)))
+
+
+@query("detector_input", lambda d: f"WITH {_detector_sql(d)} SELECT {', '.join(DETECTOR_COLS)} FROM di")
+def q_detector_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detector_frame(spark, sf_dir).select(*DETECTOR_COLS)
+
+
+def oracle_finetune(d: W.Dialect) -> str:
+    from errata.schemas import ERROR_LABELS
+
+    no = "CASE error_label " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(ERROR_LABELS, 1)) + " END"
+    body = " || chr(10) || ".join(f"'{h}'" + (f" || chr(10) || {c}" if c else "") for h, c in J.INPUT_SECTIONS)
+    return f"""WITH {_detector_sql(d)}, t AS (SELECT DISTINCT example_id, {no} AS k FROM ({W.target_label_sql(d)}) x),
+o AS (SELECT example_id, string_agg('<error_' || k || '>', '' ORDER BY k) AS tokens FROM t WHERE k IS NOT NULL GROUP BY example_id)
+SELECT di.example_id, '{J.INSTRUCTION}' AS instruction, {body} AS input, coalesce(o.tokens, '<no_error>') AS output FROM di LEFT JOIN o ON o.example_id = di.example_id"""
+
+
+@query("finetune_rows", oracle_finetune)
+def q_finetune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.sql(W.target_label_sql(workload(spark, sf_dir).d))
+    return J.finetune_rows(detector_frame(spark, sf_dir), labels)

@@ -1102,3 +1102,24 @@ SELECT o.o_orderkey AS example_id, CASE {u} % 5 WHEN 0 THEN '{{"analyses":[' ||
        WHEN 2 THEN '{{"other":1}}' WHEN 3 THEN '[' || {one} || ']' ELSE 'Sorry, {{' END AS text
 FROM {d.t('orders')} o
 """
+
+
+# ---------------------------------------------------------------- detector inputs
+
+def detector_example_sql(d: Dialect) -> str:
+    """detector_example(example_id, db_id, question, evidence, predicted_sql)."""
+    return f"""SELECT e.example_id, e.db_id, e.question, CASE WHEN e.evidence = '' THEN NULL ELSE e.evidence END AS evidence,
+       'SELECT o_orderkey FROM orders WHERE o_orderkey = ' || CAST(e.example_id AS STRING) AS predicted_sql FROM ({example_sql(d)}) e"""
+
+
+def finding_sql(d: Dialect) -> str:
+    """finding(example_id, seq, error_label, message): rule findings of some examples."""
+    return f"""SELECT r.example_id, r.pos AS seq, {d.pick(ERROR_LABELS, f"({d.u('r.example_id * 4 + r.pos', chr(39) + 'find' + chr(39))} % 12)")} AS error_label,
+       'at ' || CAST(r.pos AS STRING) AS message FROM ({raw_labels_sql(d)}) r WHERE r.example_id % 3 <> 0"""
+
+
+def target_label_sql(d: Dialect) -> str:
+    """target_label(example_id, error_label): labels to learn, some repeated or unknown."""
+    return f"""SELECT r.example_id, CASE WHEN {d.u('r.example_id * 4 + r.pos', "'tl'")} % 9 = 0 THEN 'other_error'
+       ELSE {d.pick(ERROR_LABELS, f"({d.u('r.example_id * 4 + r.pos', chr(39) + 'tgt' + chr(39))} % 12)")} END AS error_label
+FROM ({raw_labels_sql(d)}) r WHERE r.example_id % 5 <> 0"""

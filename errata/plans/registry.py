@@ -31,7 +31,7 @@ def query(name: str, oracle: Callable[[Dialect], str] | None = None):
     return deco
 
 
-PLAN_MODULES = ["evaluation_plans", "names_plans", "tree_plans", "graph_plans", "detect_plans", "synth_plans", "corpus_plans", "prompt_plans", "training_plans", "linking_plans", "value_plans", "context_plans", "entity_plans", "render_plans", "source_plans"]
+PLAN_MODULES = ["evaluation_plans", "names_plans", "tree_plans", "graph_plans", "detect_plans", "synth_plans", "corpus_plans", "prompt_plans", "training_plans", "linking_plans", "value_plans", "context_plans", "prompting_plans", "entity_plans", "render_plans", "source_plans"]
 
 
 def _load_all() -> None:

@@ -3,7 +3,7 @@ into the engine's canonical tables with Spark's own readers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,6 +181,45 @@ def load_detections(spark: SparkSession, path: str) -> DataFrame:
         "label")
 
 
+FIELD = "struct<type:string,primary_key:boolean,nullable:boolean,`default`:string,autoincrement:boolean,comment:string,examples:array<string>>"
+RICH_CATALOG = f"struct<db_id:string,`schema`:string,tables:map<string,struct<fields:map<string,{FIELD}>>>,foreign_keys:array<array<string>>>"
+FIELD_COLS = ["type", "primary_key", "nullable", "default", "autoincrement", "comment", "examples"]
+
+
+def save_rich_catalog(fields: DataFrame, foreign_keys: DataFrame, path: str) -> None:
+    """One JSON object per database and line, (db_id, schema, tables,
+    foreign_keys); tables and fields are objects in catalog order, nulls absent.
+
+    ``fields``: (db_id, schema, table_idx, table_name, ordinal, field_name and
+    ``FIELD_COLS``); ``foreign_keys``: (db_id, ord, key ARRAY of table, column,
+    schema, table, column)."""
+    def ordered(by: str, name: str, value) -> Column:
+        """An object of the group's rows in the order of ``by`` (maps have no order of their own)."""
+        rows = F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), F.struct(name, value).alias("e"))),
+                            lambda a, b: F.when(a["by"] < b["by"], -1).when(a["by"] > b["by"], 1).otherwise(0))
+        return F.map_from_entries(F.transform(rows, lambda x: x["e"]))
+
+    tables = fields.groupBy("db_id", "schema", "table_idx", "table_name").agg(ordered("ordinal", "field_name", F.struct(*FIELD_COLS).alias("f")).alias("fields"))
+    dbs = tables.groupBy("db_id", "schema").agg(ordered("table_idx", "table_name", F.struct("fields").alias("t")).alias("tables"))
+    keys = foreign_keys.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]).alias("foreign_keys"))
+    dbs.join(keys, "db_id", "left").select(F.to_json(F.struct("db_id", "schema", "tables", "foreign_keys")).alias("value")).write.mode("overwrite").text(path)
+
+
+def load_rich_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``save_rich_catalog`` wrote, as its two tables.  Absent keys get
+    defaults: empty texts and lists, no tables, no key, nullable, not counted up;
+    a line that is no JSON is no database."""
+    dbs = spark.read.text(path).select(F.from_json("value", RICH_CATALOG).alias("c")).where("c.db_id IS NOT NULL").select(
+        "c.db_id", F.coalesce("c.schema", F.lit("")).alias("schema"), "c.tables", "c.foreign_keys")
+    tables = dbs.select("db_id", "schema", F.posexplode("tables").alias("table_idx", "table_name", "t"))
+    rows = tables.select("db_id", "schema", "table_idx", "table_name", F.posexplode("t.fields").alias("ordinal", "field_name", "f"))
+    fallback = {"type": F.lit(""), "primary_key": F.lit(False), "nullable": F.lit(True), "default": F.lit(None).cast("string"),
+                "autoincrement": F.lit(False), "comment": F.lit(""), "examples": F.array().cast("array<string>")}
+    fields = rows.select("db_id", "schema", "table_idx", "table_name", "ordinal", "field_name",
+                         *[F.coalesce(F.col(f"f.{c}"), d).alias(c) for c, d in fallback.items()])
+    return fields, dbs.select("db_id", F.posexplode("foreign_keys").alias("ord", "key"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None) -> None:
     """Write a result table (partitioned by database when asked)."""
     w = df.write.mode("overwrite").format(fmt)

@@ -72,3 +72,13 @@ def test_fine_tuning_rows_read_back(spark):
     assert parts[1, "question"] == "q?" and parts[1, "execution"] == "rows: 2" and parts[2, "execution"] == "error: timeout" and parts[2, "nodes"] == "n1\nn2"
     assert parts[2, "rule_based"] == "a: m0\nb: m1" and parts[1, "rule_based"] == "none" and parts[1, "sql"] == "SELECT 1" and parts[1, "external_knowledge"] == ""
     assert len([k for k in parts if k[0] == 1]) == 9
+
+
+def test_rich_catalog_defaults(spark, tmp_path):
+    from errata.sources import loaders
+
+    (tmp_path / "c.jsonl").write_text('{"db_id":"d","tables":{"z":{"fields":{"b":{"type":"INT","primary_key":true},"a":{}}},"y":{}},"foreign_keys":[["z","b","","y","k"]]}\n{"db_id":"e"}\nno\n')
+    fields, keys = loaders.load_rich_catalog(spark, str(tmp_path))
+    got = [(r.table_idx, r.table_name, r.ordinal, r.field_name, r.type, r.primary_key, r.nullable, r.comment, r.examples) for r in fields.orderBy("table_idx", "ordinal").collect()]
+    assert got == [(0, "z", 0, "b", "INT", True, True, "", []), (0, "z", 1, "a", "", False, True, "", [])]
+    assert [tuple(r.key) for r in keys.collect()] == [("z", "b", "", "y", "k")]

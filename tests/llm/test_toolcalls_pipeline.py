@@ -69,7 +69,7 @@ def test_every_dependency_stands_before(spark):
 
 def test_one_query_per_operator():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):

@@ -1,17 +1,27 @@
 """Operator 6, packing: deficit round-robin over source queues into windows.
 
-Every source is a queue of documents in id order.  In each round a queue earns
-its target share of one window and sends the documents that its credit covers;
-what is left is carried on.  A document's round is therefore its end in the
-queue divided by the queue's quantum, rounded up, so rounds need no sequential
-pass: one running total per queue gives the rounds, one over (round, source,
-place in the queue) gives every document its place in the whole stream, over
-all partitions.  The stream is cut every ``window`` tokens.  The last, partial
-window is cut into powers of two, so no sequence needs padding.
+Every source is a queue of documents in id order.  A round is one window: in
+each, a queue earns its target share of the window's tokens (its quantum),
+sends as many whole tokens as its credit covers, cutting documents where the
+credit ends, and carries the fraction on.  After k rounds a queue has sent
+floor(k * quantum) tokens, whatever the others did, so rounds need no
+sequential pass: one running total per queue gives a document's place in its
+queue and with it its pieces and their rounds; one over (round, source, place
+in the queue) gives every piece its place in the stream, over all partitions.
+The stream is cut every ``window`` tokens.  The last, partial window is cut
+into powers of two, so no sequence needs padding.
+
+A queue with a quantum below ``min_piece`` tokens saves its credit for as many
+rounds as make up that much, so pieces number at most tokens / ``min_piece`` and
+two per document more; such queues take turns in different rounds.  While no
+queue has ended, a window holds each source's quantum to the token, but for the
+fractions that are carried (less than a token per source, so windows lag rounds
+by less than the number of sources) and the turns of those saving queues.
 
 By default a source's target share is its share of all tokens, so all queues
 end together; other shares may be given, and queues that end early leave their
-turns to the others.
+turns to the others, in proportion.  A source without a positive share follows
+after all others.
 
 Defined cases: a null or empty text is the end token alone.  A null source is
 a queue of its own, after all others.  Repeated rows and ids are packed once
@@ -25,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,18 +70,30 @@ def tokenize(docs: DataFrame, id_col: str, text: str, source: str, tokenizer: st
     return rows.mapInArrow(run, f"row_key long, id {id_type}, source string, n long, ids binary")
 
 
-def schedule(sizes: DataFrame, window: int, shares: DataFrame | None = None) -> DataFrame:
-    """(row_key, source, n) -> the same with ``round`` and ``place``, the
-    document's first token in the stream.  ``shares`` is (source, share)."""
+def schedule(sizes: DataFrame, window: int, shares: DataFrame | None = None, min_piece: int = 64) -> DataFrame:
+    """(row_key, id, source, n) -> one row per piece that a queue sends in one
+    turn: row_key, round, start (in its document), length and place, its first
+    token in the stream.  ``shares`` is (source, share)."""
     queued = running_totals(sizes, ["id", "row_key"], {"queued": "n"}, ["source"])
-    total = sizes.agg(F.sum("n")).first()[0] or 0
     if shares is None:
+        total = sizes.agg(F.sum("n")).first()[0] or 0
         shares = sizes.groupBy("source").agg((F.sum("n") / F.lit(float(max(total, 1)))).alias("share"))
-    quanta = shares.select(F.col("source").alias("queue"), (F.col("share") * window).alias("quantum"))
-    rounds = queued.join(quanta, F.col("source").eqNullSafe(F.col("queue")), "left").withColumn(
-        "round", F.ceil((F.col("queued") + F.col("n")) / F.coalesce("quantum", F.lit(float(window)))))
-    order = ["round", F.col("source").isNull(), "source", "id", "row_key"]
-    return running_totals(rounds.select("row_key", "id", "source", "n", "round"), order, {"place": "n"})
+    quantum = F.col("share") * float(window)
+    turns = (shares.where("share > 0")
+             .select(F.col("source").alias("queue"), quantum.alias("quantum"), F.greatest(F.lit(1), F.ceil(min_piece / quantum)).alias("every"))
+             .select("queue", "every", (F.col("quantum") * F.col("every")).alias("turn"), F.expr("pmod(xxhash64(queue), every)").alias("ahead")))
+    # turn k of a queue sends its tokens [floor(k * turn), floor((k + 1) * turn)); the
+    # estimated first and last turns of a document are widened by one for rounding
+    parts = F.expr("""filter(transform(
+        sequence(greatest(0L, floor(queued / turn) - 1), floor((queued + n) / turn) + 1),
+        k -> struct((k + 1) * every - ahead AS round, greatest(queued, floor(k * turn)) - queued AS start,
+                    least(queued + n, floor((k + 1) * turn)) - queued AS stop)), p -> p.start < p.stop)""")
+    whole = F.expr("array(struct(CAST(NULL AS bigint) AS round, 0L AS start, n AS stop))")
+    sent = (queued.join(turns, F.col("source").eqNullSafe(F.col("queue")), "left")
+            .select("row_key", "id", "source", F.inline(F.when(F.col("turn").isNotNull(), parts).otherwise(whole)))
+            .withColumn("length", F.col("stop") - F.col("start")).drop("stop"))
+    order = [F.col("round").isNull(), "round", F.col("source").isNull(), "source", "id", "row_key", "start"]
+    return running_totals(sent, order, {"place": "length"}).select("row_key", "round", "start", "length", "place")
 
 
 def tail_cuts(total: int, window: int) -> list[int]:
@@ -86,55 +109,50 @@ def tail_cuts(total: int, window: int) -> list[int]:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *, window: int = 4096,
-         tokenizer: str | None = None, shares: DataFrame | None = None) -> DataFrame:
+         tokenizer: str | None = None, shares: DataFrame | None = None, min_piece: int = 64) -> DataFrame:
     """One row per piece: ``id_col``, ``row_key``, source, round, start, length, ids
     (binary), ids_crc32, doc_tokens, sequence_id and offset."""
     ids = materialize(tokenize(docs, id_col, text, source, tokenizer or default_path()), "pack-ids", "zstd")
-    placed = schedule(ids.select("row_key", "id", "source", "n"), window, shares)
+    sent = schedule(ids.select("row_key", "id", "source", "n"), window, shares, min_piece)
     total = ids.agg(F.sum("n")).first()[0] or 0
     tail = tail_cuts(total, window)
     whole = total - total % window
     marks = ", ".join(f"{c}L" for c in tail)
-    cut = placed.withColumn("cuts", F.expr(f"""array_distinct(flatten(array(
+    cuts = F.expr(f"""array_distinct(flatten(array(
         array(place),
-        filter(CASE WHEN place div {window} < (place + n - 1) div {window}
-            THEN transform(sequence(place div {window} + 1, (place + n - 1) div {window}), k -> k * {window}L) ELSE array() END, c -> c <= {whole}L),
-        filter(array({marks}), c -> c > place AND c < place + n),
-        array(place + n))))"""))
+        filter(CASE WHEN place div {window} < (place + length - 1) div {window}
+            THEN transform(sequence(place div {window} + 1, (place + length - 1) div {window}), k -> k * {window}L) ELSE array() END, c -> c <= {whole}L),
+        filter(array({marks}), c -> c > place AND c < place + length),
+        array(place + length))))""")
+    parts = F.expr("transform(slice(cuts, 1, size(cuts) - 1), (c, k) -> struct(start + c - place AS start, cuts[k + 1] - c AS length, c AS place, round AS round))")
+    # a document's pieces meet again in one row, next to its ids: both are as long as the document at most
+    cut = sent.withColumn("cuts", cuts).groupBy("row_key").agg(F.array_sort(F.flatten(F.collect_list(parts))).alias("parts"))
     n_whole = whole // window
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.array(tail, np.int64)
         for b in batches:
-            width = None
-            out: list[tuple] = []
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            for row_key, own, queue, n, turn, cuts, raw in zip(*cols):
-                width = len(raw) // n
-                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    if lo < whole:
-                        seq, base = lo // window, lo // window * window
-                    else:
-                        k = int(np.searchsorted(starts, lo, "right")) - 1
-                        seq, base = n_whole + k, int(starts[k])
-                    part = ids[lo - cuts[0]:hi - cuts[0]].tobytes()
-                    out.append((own, row_key, queue, turn, lo - cuts[0], hi - lo, part, zlib.crc32(part), n, seq, lo - base))
-                if len(out) >= 4096:
-                    yield _piece_batch(out, b.schema)
-                    out = []
-            if out:
-                yield _piece_batch(out, b.schema)
+            n = b.column(3).to_numpy()
+            for s in T.slices(b.column(5), SLICE):
+                rows, size = b.slice(s.lo, s.rows), n[s.lo:s.hi]
+                values = np.frombuffer(s.data, f"<u{len(s.data) // size.sum()}").astype("<u4").tobytes()
+                parts, own = rows.column(4).flatten(), pa.compute.list_parent_indices(rows.column(4))
+                length, place = (parts.field(k).to_numpy() for k in ("length", "place"))
+                # the pieces of a document cover its ids in order, so they cover the slice's
+                ends = np.cumsum(length) * 4
+                crc = [zlib.crc32(values[hi - 4 * k:hi]) for hi, k in zip(ends.tolist(), length.tolist())]
+                k = np.searchsorted(starts, place, "right") - 1
+                inside = place < whole
+                seq = np.where(inside, place // window, n_whole + k)
+                base = np.where(inside, place // window * window, starts[k])
+                raw = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), pa.py_buffer(values)])
+                own_columns = rows.select([1, 0, 2]).take(own).columns
+                yield pa.RecordBatch.from_arrays(
+                    [*own_columns, parts.field("round"), parts.field("start"), parts.field("length"), raw.cast(pa.binary()),
+                     pa.array(crc, pa.int64()), pa.array(size[own.to_numpy()], pa.int64()), pa.array(seq, pa.int64()), pa.array(place - base, pa.int64())],
+                    names=["id", "row_key", "source", "round", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = cut.select("row_key", "id", "source", "n", "round", "cuts").join(ids.select("row_key", "ids"), "row_key")
+    rows = cut.join(ids, "row_key").select("row_key", "id", "source", "n", "parts", "ids")
     return rows.mapInArrow(pieces, f"id {id_type}, row_key long, source string, round long, start long, length long, ids binary, "
                            "ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
-
-
-def _piece_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    types = [schema.field("id").type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
-             pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["id", "row_key", "source", "round", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)

@@ -170,7 +170,9 @@ def build_references(docs: DataFrame, text: str = "text", lang: str = "lang", *,
         largest = sizes.orderBy(F.desc("total"), F.asc_nulls_first("lang")).limit(sent_languages + 1).collect()
         totals = {r.lang: r.total for r in largest[:sent_languages]}
         place = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-        top = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.when(F.col("kind") == 1, common_words).otherwise(len(CLASSES)))
+        # one literal for both kinds (classes are fewer), so that every task drops all but its own first ranks before the shuffle
+        top = counts.withColumn("place", F.row_number().over(place)).where(
+            (F.col("place") <= max(common_words, len(CLASSES))) & ((F.col("kind") == 0) | (F.col("place") <= common_words)))
         kept = F.broadcast(spark.createDataFrame([(k,) for k in totals], "kept string"))  # sent_languages rows at most
         found = top.join(kept, F.col("lang").eqNullSafe(F.col("kept")), "left_semi").collect()
     finally:

@@ -79,14 +79,17 @@ TOOL_SCHEMAS = [
 
 
 def tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stand-in calls and results: assistant turns call a tool with their text
-    and depend on the call two turns before; user turns answer the turn before."""
-    name_of = F.concat_ws("-", F.lit("call"), F.col("turn").cast("string"))
+    """Stand-in calls and results: assistant turns call a tool with their text;
+    by a hash of it a quarter of them depend on the call two turns later (a cycle
+    where that one depends on them), a quarter on none and the others on the call
+    two turns before.  User turns answer the turn before."""
+    name_of = F.concat(F.lit("call-"), F.col("turn").cast("string"))
     calls = conversations.where("role = 'assistant'").select(
         "conv_id", name_of.alias("call_id"), "turn", F.expr("CASE pmod(length(text), 3) WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'lookup' END").alias("name"),
         F.expr("""CASE WHEN pmod(length(text), 3) = 0 THEN to_json(named_struct('query', text, 'limit', pmod(length(text), 60)))
                   ELSE to_json(named_struct('text', text, 'lang', 'en')) END""").alias("arguments"),
-        F.array(F.expr("concat('call-', turn - 2)")).alias("depends_on"))
+        F.expr("""CASE crc32(coalesce(text, '')) % 4 WHEN 0 THEN array(concat('call-', turn + 2)) WHEN 1 THEN CAST(array() AS array<string>)
+                  ELSE array(concat('call-', turn - 2)) END""").alias("depends_on"))
     results = conversations.where("role = 'user'").select(
         "conv_id", F.expr("concat('call-', turn - 1)").alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

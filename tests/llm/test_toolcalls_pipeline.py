@@ -3,7 +3,7 @@
 import pytest
 
 from errata.llm import registry
-from errata.llm.queries import TOOL_SCHEMAS
+from errata.llm.queries import TOOL_SCHEMAS, tool_calls
 from errata.llm.toolcalls import link_tool_calls
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +67,35 @@ def test_every_dependency_stands_before(spark):
                 assert got[conv, d].place < got[conv, name].place
 
 
+def test_the_querys_order_equals_a_plain_sort(spark):
+    """Levels by walking all paths, cycles by reachability, places by sorting."""
+    calls, _ = tool_calls(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    plain: dict = {}
+    for r in sorted(calls.collect(), key=lambda r: (r.turn, r.name, r.arguments)):
+        plain.setdefault(r.conv_id, {}).setdefault(r.call_id, r)
+    want, seen = {}, set()
+    for conv, own in plain.items():
+        needs = {c: {d for d in r.depends_on if d in own} for c, r in own.items()}
+        rise = {(d, c): int((own[d].turn, d) >= (own[c].turn, c)) for c in own for d in needs[c]}
+        behind = {c: set(needs[c]) for c in own}
+        for _ in own:
+            behind = {c: ds.union(*(behind[d] for d in ds)) for c, ds in behind.items()}
+        loops = {c for c in own if c in behind[c]}
+        level = dict.fromkeys(own, 0)
+        for _ in own:
+            level = {c: max([0, *(level[d] + rise[d, c] for d in needs[c])]) for c in own}
+        for c in own:
+            if c in loops or behind[c] & loops:
+                level[c] = sum(rise.values()) + 1
+                seen.add("cycle")
+            seen.add(min(level[c], 2))
+        for place, c in enumerate(sorted(own, key=lambda c: (level[c], own[c].turn, c))):
+            want[conv, c] = (place, level[c], level[c] > sum(rise.values()))
+    got = registry.queries()["op3_tool_call_links"](spark, "/root/testdata/sf0.01").where("place IS NOT NULL").collect()
+    assert {(r.conv_id, r.call_id): (r.place, r.level, r.status == "cycle") for r in got} == want
+    assert seen == {0, 1, 2, "cycle"}
+
+
 def test_one_query_per_operator():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

@@ -90,8 +90,12 @@ def _set_ref(parts: DataFrame, chosen: DataFrame, new_name: Column) -> DataFrame
 
 def attribute_redundancy(parts: DataFrame, db_columns: DataFrame) -> DataFrame:
     """H1: one column reference becomes another real column of the database
-    (any table, different normalised name)."""
-    refs = _rank(column_refs(parts), "h1", _ref_key()).where(F.col("_r") == 1).drop("_r")
+    (any table, different normalised name).  References for which the database
+    has no other name are passed over: a database has one for every reference
+    if its least and greatest normalised names differ, else for all but that name."""
+    names = db_columns.groupBy("db_id").agg(F.min(norm(F.col("column_name"))).alias("_least"), F.max(norm(F.col("column_name"))).alias("_most"))
+    able = column_refs(parts).join(names, "db_id").where((norm(F.col("name")) != F.col("_least")) | (norm(F.col("name")) != F.col("_most")))
+    refs = _rank(able.drop("_least", "_most"), "h1", _ref_key()).where(F.col("_r") == 1).drop("_r")
     cand = refs.join(db_columns.select("db_id", F.col("column_name").alias("repl")), "db_id").where(
         norm(F.col("repl")) != norm(F.col("name")))
     pick = _rank(cand, "h1r", F.col("repl")).where(F.col("_r") == 1)

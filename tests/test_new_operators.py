@@ -55,6 +55,16 @@ def test_changes_of_a_database_without_catalog(spark, query_parts, catalog):
     assert compose.compose_changes(queries, catalog, typed(spark, (1, ["value_error"]))).count() == 1
 
 
+def test_references_without_another_name_are_passed_over(spark, query_parts):
+    """A database of the one column A: a is passed over, b becomes A."""
+    columns = spark.createDataFrame([("d", 0, "o", 1, "A")], "db_id string, table_idx long, table_name string, column_idx long, column_name string")
+    small = compose.group_catalog(columns, columns.select("db_id", "table_name").distinct())
+    done = {r.example_id: r.description for r in synth.attribute_redundancy(query_parts, columns).collect()}
+    assert done == {1: "Replaced column 'b' with unrelated schema column 'A'"}
+    made = compose.compose_changes(compose.group_parts(query_parts), small, typed(spark, (1, ["attribute_redundancy"]), (2, ["attribute_redundancy"])))
+    assert {r.example_id: r.description for r in made.collect()} == done
+
+
 def test_array_changes_equal_the_relational_ones(spark):
     from errata.plans.synth_plans import ctx
 

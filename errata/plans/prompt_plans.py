@@ -15,7 +15,8 @@ TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
 def _df(spark, sf_dir, builder):
-    return spark.sql(builder(workload(spark, sf_dir).d))
+    w = workload(spark, sf_dir)
+    return w.derived(builder(w.d))
 
 
 def oracle_split_sections(d: W.Dialect) -> str:

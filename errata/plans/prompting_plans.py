@@ -53,7 +53,7 @@ def oracle_annotation(d: W.Dialect) -> str:
 def q_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = workload(spark, sf_dir)
     ddl = schema_ddl(w.catalog_table(), w.catalog_column(), w.catalog_pk())
-    return Q.annotation_prompts(spark.sql(W.annotated_example_sql(w.d)), ddl, texts(spark)).withColumn("user", F.md5("user"))
+    return Q.annotation_prompts(w.derived(W.annotated_example_sql(w.d)), ddl, texts(spark)).withColumn("user", F.md5("user"))
 
 
 def oracle_localization(d: W.Dialect) -> str:
@@ -68,8 +68,9 @@ SELECT e.example_id, {prompt} AS prompt FROM ({W.detector_example_sql(d)}) e JOI
 
 @query("localization_prompts", oracle_localization)
 def q_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = workload(spark, sf_dir).d
-    samples = spark.sql(W.detector_example_sql(d)).withColumnRenamed("predicted_sql", "sql").join(spark.sql(W.ast_lines_sql(d)), "example_id")
+    w = workload(spark, sf_dir)
+    d = w.d
+    samples = w.derived(W.detector_example_sql(d)).withColumnRenamed("predicted_sql", "sql").join(w.derived(W.ast_lines_sql(d)), "example_id")
     errors = spark.sql(W.analysis_sql(d, DISPLAY_NAMES)).select("example_id", "pos", "error_type")
     return Q.localization_prompts(samples, errors, spark.sql(template_sql(d)).select("error_type", "template"), texts(spark))
 
@@ -94,5 +95,5 @@ SELECT e.example_id, {_filled('repair', sql='e.predicted_sql', errors='b.errors'
 def q_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = workload(spark, sf_dir).d
     contexts = spark.sql(context_sql(d)).withColumn("guideline", F.when(F.col("gkey").isNotNull(), F.create_map("gkey", "gvalue")))
-    samples = spark.sql(W.detector_example_sql(d)).select("example_id", F.col("predicted_sql").alias("sql"))
+    samples = workload(spark, sf_dir).derived(W.detector_example_sql(d)).select("example_id", F.col("predicted_sql").alias("sql"))
     return Q.repair_prompts(samples, contexts, texts(spark))

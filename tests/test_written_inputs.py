@@ -84,3 +84,49 @@ def test_changes_of_parts_alone_need_no_catalog(spark, tmp_path):
     want = H.render_sql(H.table_missing(Workload(spark, str(tmp_path)).query_part())).select(*made.columns)
     assert rows(made) == rows(want) != []
     assert not any("catalog_" in f for f in made.inputFiles())
+
+
+def sources(df):
+    return {f.split("/")[-2].rsplit("-", 1)[0] for f in df.inputFiles()}
+
+
+def named_data(spark, path):
+    data(spark, path)
+    spark.createDataFrame([(0, "FRANCE", 0), (1, "PERU", 1)], "n_nationkey int, n_name string, n_regionkey int").write.mode("overwrite").parquet(f"{path}/nation.parquet")
+
+
+def test_entity_queries_read_written_tables(spark, tmp_path):
+    import __spark_entry__
+    from errata.operators import entities as N
+    from errata.operators import graph as D
+    from errata.sources.fixtures import workload
+
+    named_data(spark, tmp_path)
+    made = __spark_entry__.queries()["entity_edges"](spark, str(tmp_path))
+    w = workload(spark, str(tmp_path))
+    assert sources(made) == {"entity_match", "schema_items", "graph_nodes"}
+    assert "_linking" not in vars(w)  # this query has no linked subset
+    ct, cc = w.catalog_table(), w.catalog_column()
+    want = N.entity_edges(w.derived(W.entity_match_sql(w.d)), N.schema_items(ct, cc), D.graph_nodes(ct, cc))
+    assert rows(made) == rows(want) != []
+
+
+def test_linked_records_plan_holds_no_derivation(spark, tmp_path):
+    import __spark_entry__
+
+    named_data(spark, tmp_path)
+    made = __spark_entry__.queries()["graph_records_linked"](spark, str(tmp_path))
+    assert sources(made) == {"graph_example", "entity_match", "schema_items", "chosen-items", "linked-nodes", "graph_edges", "catalog_table"}
+    assert made.count() > 0
+
+
+def test_column_examples_are_written_once(spark, tmp_path):
+    import __spark_entry__
+    from errata.operators import graph as D
+    from errata.sources.fixtures import workload
+
+    named_data(spark, tmp_path)
+    made = [__spark_entry__.queries()[k](spark, str(tmp_path)) for k in ("example_hygiene", "render_tables")]
+    w = workload(spark, str(tmp_path))
+    assert all("column_examples" in sources(m) for m in made)
+    assert rows(w._made["column_examples"]) == rows(D.column_examples({t: w.table(t) for t in W.TABLES})) != []

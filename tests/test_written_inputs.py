@@ -130,3 +130,27 @@ def test_column_examples_are_written_once(spark, tmp_path):
     w = workload(spark, str(tmp_path))
     assert all("column_examples" in sources(m) for m in made)
     assert rows(w._made["column_examples"]) == rows(D.column_examples({t: w.table(t) for t in W.TABLES})) != []
+
+
+def test_column_docs_read_each_file_once(spark, tmp_path):
+    from errata.sources import loaders
+
+    for t, text in {"a": "original_column_name,column_description\nX, first \nx,last\n", "b": "﻿column_description,original_column_name\n\"of, b\",Y\n,\n", "c": "column_description,original_column_name\n"}.items():
+        (tmp_path / "d").mkdir(exist_ok=True)
+        (tmp_path / "d" / f"{t}.csv").write_text(text)
+    docs = loaders.load_column_docs(spark, str(tmp_path / "d"))
+    assert sorted(map(tuple, docs.collect())) == [("d", "a", "x", "last"), ("d", "b", "y", "of, b")]
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_column_doc_files_are_written_by_all_partitions(spark, tmp_path):
+    import re
+
+    import __spark_entry__
+
+    data(spark, tmp_path)
+    spark.createDataFrame([(k * 100, f"c{k}", 0, 1.0, "X") for k in range(20)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+    made = __spark_entry__.queries()["load_column_docs"](spark, str(tmp_path))
+    files = made.inputFiles()
+    assert len(files) == 20 * len(W.TABLES)
+    assert len({re.search(r"part-(\d+)", f)[1] for f in files}) > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2

@@ -154,3 +154,16 @@ def test_column_doc_files_are_written_by_all_partitions(spark, tmp_path):
     files = made.inputFiles()
     assert len(files) == 20 * len(W.TABLES)
     assert len({re.search(r"part-(\d+)", f)[1] for f in files}) > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
+
+
+def test_gold_lines_are_sorted_from_written_rows(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+    from errata.plans import source_plans
+
+    named_data(spark, tmp_path)
+    kept = {}
+    real = source_plans.materialize
+    monkeypatch.setattr(source_plans, "materialize", lambda df, name: kept.setdefault(name, real(df, name)))
+    made = __spark_entry__.queries()["load_gold_lines"](spark, str(tmp_path))
+    want = [(k, r.sql, r.db_id) for k, r in enumerate(sorted(kept["gold-rows"].collect(), key=lambda r: r.example_id))]
+    assert len(want) == 40 and sorted(map(tuple, made.select("example_id", "gold_sql", "db_id").collect())) == want

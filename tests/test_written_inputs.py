@@ -31,6 +31,14 @@ def test_threshold_is_lowered_only(spark, thresholds, given, kept):
         assert spark.conf.get(k).rstrip("b") == str(kept).rstrip("b")
 
 
+def test_threshold_that_nobody_set_is_lowered(spark, thresholds):
+    for k in KEYS:
+        spark.conf.unset(k)
+    bound_broadcasts(spark)
+    assert int(spark.conf.get(KEYS[0]).rstrip("b")) == BROADCAST_BYTES
+    assert spark.conf.get(KEYS[1], None) is None  # it follows the first
+
+
 def test_queries_bound_broadcasts(spark, thresholds, tmp_path):
     import __spark_entry__
 

@@ -24,7 +24,8 @@ def fill(frame: Column, values: dict[str, Column]) -> Column:
     """``frame`` with every blank ``{name}`` of ``values`` filled; others stay."""
     known = F.create_map(*[x for k, v in values.items() for x in (F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("")))])
     pieces = F.regexp_extract_all(frame, F.lit(r"\{\w+\}|[^{]+|\{"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")
+    # bound by a lambda: named inside the inner one, the values would be computed again for every piece
+    return F.transform(F.array(known), lambda m: F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(m, p), p)), ""))[0]
 
 
 def _framed(rows: DataFrame, texts: DataFrame, **names: str) -> DataFrame:

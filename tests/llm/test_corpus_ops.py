@@ -95,6 +95,20 @@ def test_jaccard_components(spark, documents, monkeypatch, star):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for (i, _), s in zip(rows, sets)}
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    """Links within a large group of near copies too, and with repeated rows."""
+    monkeypatch.setattr(jaccard, "STAR_ROWS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    texts = near_copies()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts[:40])]
+    sets = plain_sets([t for _, t in rows])
+    links = {x: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in set(sets)) for x in set(sets)}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted((i, links[s]) for (i, _), s in zip(rows, sets))
+    assert max(links.values()) > 4 * jaccard.STAR_PIVOTS
+
+
 def test_jaccard_defined_cases(spark, odd):
     got = jaccard.jaccard_components(odd).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles) for r in got) == [(-1, 1), (1, 1), (1, 1), (1, 1), (3, 0), (4, 0), (5, 2), (6, 1), (7, 0), (9, 2)]
